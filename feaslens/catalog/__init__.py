@@ -1,3 +1,3 @@
 """Registered queries by topic. Modules are imported by the driver entry."""
 
-MODULES = ["bootstrap"]
+MODULES = ["columns", "metrics", "bootstrap"]

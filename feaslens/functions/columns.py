@@ -45,7 +45,7 @@ def ttc_capped(col: Column | str, cap: float) -> Column:
 def ttc_inverse(col: Column | str, floor: float = 0.1) -> Column:
     """1/max(ttc, floor), zero where there is no collision course."""
     ttc = non_negative_or_null(col)
-    return F.coalesce(1.0 / F.greatest(ttc, F.lit(float(floor))), F.lit(0.0))
+    return F.coalesce(F.when(ttc.isNotNull(), 1.0 / F.greatest(ttc, F.lit(float(floor)))), F.lit(0.0))
 
 
 def ttc_sentinel(col: Column | str, sentinel: float = 999.0) -> Column:
@@ -87,7 +87,8 @@ def nearest_bin(col: Column | str, bins: Sequence[float]) -> Column:
 
 
 def clip(col: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(col, F.lit(float(low))), F.lit(float(high)))
+    """Limits a number to [low, high]; null stays null (least/greatest alone would skip it)."""
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(float(low))), F.lit(float(high))))
 
 
 def smoothstep(u: Column) -> Column:

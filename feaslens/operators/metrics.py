@@ -204,8 +204,8 @@ def best_f1_grid(df, y, score, by=(), points: int = 101, buckets=None) -> DataFr
     """Best F1 over evenly spaced score quantiles, with its threshold (the lowest one wins a tie)."""
     by = list(by)
     qs = [i / (points - 1) for i in range(points)]
-    grid = ordered.quantiles(scored(df, y, score, by), "score", qs, by, buckets)
-    thresholds = grid.select(*by, F.explode(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(points)]))).alias("threshold"))
+    thresholds = ordered.quantile_points(scored(df, y, score, by), "score", qs, by, buckets).select(
+        *by, F.col("quantile").alias("threshold")).distinct()
     table = curve(df, y, score, by, buckets)
     # Counts at a threshold are differences of a histogram over the grid, not a rows-by-thresholds product.
     bounds = thresholds.groupBy(*by).agg(F.sort_array(F.collect_list("threshold")).alias("grid"))

@@ -107,6 +107,20 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str]
     ])
 
 
+def quantile_points(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Exact quantiles for a long list of levels, one row per level: ``by``, ``level_ix``, ``quantile``."""
+    ranked = value_counts_running(df, by, value, buckets)
+    last = F.col("tot_n") - 1
+    levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    covers = lambda rank: (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
+    hits = F.explode(F.filter(levels, lambda v: covers(F.floor(v["q"] * last)) | covers(F.ceil(v["q"] * last)))).alias("_v")
+    pos = F.col("_v.q") * last
+    rows = ranked.select(*by, value, "cum_n", "n", "tot_n", hits)
+    at = lambda rank: F.max(F.when(covers(rank), F.col(value).cast("double")))
+    lo, hi, w = at(F.floor(pos)), at(F.ceil(pos)), F.max(pos - F.floor(pos))
+    return rows.groupBy(*by, F.col("_v.i").alias("level_ix")).agg((lo + (hi - lo) * w).alias("quantile"))
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
                      buckets: int | None = None) -> DataFrame:
     """Quantiles of several columns in one pass: rows keyed by ``by`` and ``column``, levels in ``q0``…"""
