@@ -104,10 +104,10 @@ def c8(spark, sf):
 
 
 @query("C9_smoothstep", f"""
-with t as (select event_id, value / 100 - 0.2 as u from events), z as (select event_id, greatest(0, least(1, u)) as z from t)
+with t as (select event_id, value / 97 - 0.2 as u from events), z as (select event_id, greatest(0, least(1, u)) as z from t)
 select event_id, {r('z * z * (3 - 2 * z)', 10)} as s, {r('6 * z * (1 - z)', 10)} as slope from z""")
 def c9(spark, sf):
-    u = F.col("value") / 100 - 0.2
+    u = F.col("value") / 97 - 0.2
     return rounded(read(spark, sf, "events").select("event_id", c.smoothstep(u).alias("s"), c.smoothstep_slope(u).alias("slope")), 10)
 
 

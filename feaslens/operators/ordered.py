@@ -161,3 +161,16 @@ def assert_small(df: DataFrame, limit: int, what: str) -> DataFrame:
     if df.limit(limit + 1).count() > limit:
         raise ValueError(f"{what} has more than {limit} rows")
     return F.broadcast(df)
+
+
+def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, bucket: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row. ``bucket`` cuts long groups (monotone in the order columns)."""
+    by = list(by)
+    stamp = F.struct(*order)
+    ends = df.filter(F.col(value).isNotNull()).groupBy(*by, bucket).agg(F.max_by(F.col(value), stamp).alias("_end"))
+    cells = df.select(*by, bucket).distinct().join(ends, [*by, bucket], "left")
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(*by, bucket, F.last("_end", ignorenulls=True).over(before).alias("_in"))
+    inner = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(carried, [*by, bucket]).withColumn(
+        out, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("_in"))).drop("_in")
