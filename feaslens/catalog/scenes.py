@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feaslens.catalog.base import read
 from feaslens.operators import samples as sm
+from feaslens.session import checkpointed
 
 STEPS = 9
 DT = 0.5
@@ -55,6 +56,15 @@ def lanes(spark: SparkSession, sf: str) -> DataFrame:
     return sm.lanes_near(poses.join(keep, "sample_id", "left_semi"), map_lanes(spark, sf), ROI)
 
 
+def stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Agents, states and lanes written once, for plans that read them several times."""
+    agents, states = samples(spark, sf)
+    agents = checkpointed(agents)
+    poses = sm.ego_poses(tracks(spark, sf), steps(spark, sf))
+    near = sm.lanes_near(poses.join(agents.filter("is_ego").select("sample_id"), "sample_id", "left_semi"), map_lanes(spark, sf), ROI)
+    return agents, checkpointed(states), checkpointed(near)
+
+
 TRACKS_SQL = f"""tr as (
   select c::varchar as scenario_id, o as track_id, case when o % 10 = 0 then 'pedestrian' when o % 10 = 5 then 'cyclist' else 'vehicle' end as object_type,
          is_ego, k::int as step, k * {DT}::double as t_s, (o * 31 + k * 17) % 11 != 0 as valid, x0 + v * cos(heading) * (k * {DT}::double) as x, y0 + v * sin(heading) * (k * {DT}::double) as y,

@@ -13,6 +13,7 @@ from feaslens.operators import actions as ac
 from feaslens.operators import labels as lb
 from feaslens.operators import proximity as px
 from feaslens.operators import samples as sm
+from feaslens.session import checkpointed
 
 
 @query("SC1_screen_scenarios", f"""
@@ -250,15 +251,15 @@ def ac_labels(spark, sf):
 
 @query("AC19_label_variants")
 def ac19(spark, sf):
-    agents, states = sc.samples(spark, sf)
+    agents, states, lanes = sc.stored(spark, sf)
     variants = [ac.Variant(v.variant_id, v.family, min(v.horizon_s, 3.0), v.lane_buffer_m, v.action_library, v.future_handling) for v in ac.VARIANTS]
-    return rounded(ac.label_variants(agents, states, sc.lanes(spark, sf), DT, variants))
+    return rounded(ac.label_variants(agents, states, lanes, DT, variants))
 
 
 @query("AC20_feasibility_audit")
 def ac20(spark, sf):
-    agents, states = sc.samples(spark, sf)
-    return rounded(ac.feasibility_audit(agents, states, sc.lanes(spark, sf), H, DT))
+    agents, states, lanes = sc.stored(spark, sf)
+    return rounded(ac.feasibility_audit(agents, states, lanes, H, DT))
 
 
 LAT_ROWS = [(i * 7 + j, lo[0], la[0], "emergency" if lo[3] or la[4] else "comfort", lo[1], la[1], la[2], lo[2] + la[3])
@@ -312,9 +313,10 @@ cd as (select sample_id, candidate_id, longitudinal_profile, lateral_profile, ac
 
 
 def candidates(spark, sf):
-    agents, states = sc.samples(spark, sf)
+    agents, states, lanes = sc.stored(spark, sf)
     obs = ac.obstacle_pose(agents, states, "oracle_future", 6, DT, start=0)
-    return ac.evaluate_candidates(lattice(spark, sf), obs, sc.lanes(spark, sf), P)
+    roll = ac.rollout_lattice(ac.ego_rows(agents), ac.lattice_candidates(spark), P.horizon_s, DT)
+    return ac.evaluate_candidates(roll, obs, lanes, P)
 
 
 @query("AC13_evaluate_candidates", f"""
@@ -331,6 +333,6 @@ select sample_id, (ok > 0)::int as planner_success, ok as feasible_candidate_cou
   case when ok > 0 then 'no_failure:feasible_trajectory_exists' when c and l and k then 'known_failure:collision_road_boundary_and_kinematic' when c and l then 'known_failure:collision_and_road_boundary' when c and k then 'known_failure:collision_and_kinematic'
     when l and k then 'known_failure:road_boundary_and_kinematic' when c then 'known_failure:collision_only' when l then 'known_failure:road_boundary_only' when k then 'known_failure:kinematic_only' else 'unknown_failure:all_invalid_unattributed' end as failure_subtype from f""")
 def chain(spark, sf):
-    cand = candidates(spark, sf)
+    cand = checkpointed(candidates(spark, sf))
     lab = lb.planner_labels(cand).drop("initial_overlap_count").join(lb.candidate_flags(cand), "sample_id")
     return lb.failure_taxonomy(lab).select("sample_id", "planner_success", "feasible_candidate_count", "best_action_family", "failure_taxonomy", "failure_subtype")

@@ -32,6 +32,11 @@ def num_or(df: DataFrame, name: str, default: float | None = None) -> Column:
     return F.lit(default).cast("double")
 
 
+def num_filled(df: DataFrame, name: str, default: float = 0.0) -> Column:
+    """``num`` where an absent column and a null both count as ``default``."""
+    return F.coalesce(num_or(df, name), F.lit(float(default)))
+
+
 def non_negative_or_null(col: Column | str) -> Column:
     x = num(col)
     return F.when(x >= 0, x)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feaslens.functions.columns import bucket, count_string, non_negative_or_null, num, num_or, ttc_capped, ttc_sentinel, with_scenario_id
+from feaslens.functions.columns import bucket, count_string, non_negative_or_null, num, num_filled, num_or, ttc_capped, ttc_sentinel, with_scenario_id
 from feaslens.operators import bootstrap, labels, metrics, ordered
 
 # Reason tokens whose bursts are checked, and gate levels.
@@ -240,7 +240,7 @@ def unknown_by_scenario(df: DataFrame, scenario: str = "scenario_id", taxonomy:
 
 def suggest_recode(df: DataFrame, taxonomy: str = "failure_taxonomy", keep: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Recode proposal for unknown failures from their flags, with rationale and confidence."""
-    flag = lambda n: num_or(df, n, 0.0) == 1
+    flag = lambda n: num_filled(df, n) == 1
     reason = F.lower(F.coalesce(F.col("planner_failure_reason"), F.lit(""))) if "planner_failure_reason" in df.columns else F.lit("")
     blocked = flag("parser_error_flag") | flag("no_route_flag") | flag("initial_invalid_flag")
     c, rd, k = flag("collision_flag"), flag("road_boundary_flag"), flag("kinematic_flag")
@@ -270,8 +270,8 @@ def negative_delta_audit(df: DataFrame, comparisons: Sequence[tuple[str, str]],
                                          F.col(f"_a_{b}").alias("baseline_AUPRC")) for e, b in comparisons])).alias("_p")
     deltas = wide.filter(F.col("positive_count") >= min_pos).select(*keys, "n", "positive_count", pairs).select(*keys, "n", "positive_count", "_p.*")
     flags = {"low_speed_fraction": num_or(df, "ego_speed_mps") < 5.0, "near_overlap_fraction": num_or(df, "current_min_distance_m") < 1.0,
-             "initial_overlap_fraction": num_or(df, "initial_overlap_count", 0.0) > 0}
-    pos_flags = {f"{n}_positive_fraction": num_or(df, f"{n}_flag", 0.0) > 0 for n in ("collision", "road_boundary", "kinematic")}
+             "initial_overlap_fraction": num_filled(df, "initial_overlap_count") > 0}
+    pos_flags = {f"{n}_positive_fraction": num_filled(df, f"{n}_flag") > 0 for n in ("collision", "road_boundary", "kinematic")}
     s = F.explode(F.array(*[F.struct(F.lit(c).alias("stratum_column"), F.col(c).cast("string").alias("stratum")) for c in strata])).alias("_s")
     facts = work.select("_y", F.col(scenario).alias("_sc"), F.coalesce(F.col(subtype), F.lit("")).alias("_sub"), *[F.coalesce(v, F.lit(False)).cast("double").alias(k) for k, v in {**flags, **pos_flags}.items()], s
                         ).select("*", "_s.*")
@@ -289,7 +289,7 @@ def negative_delta_audit(df: DataFrame, comparisons: Sequence[tuple[str, str]],
 def subtype_summary(df: DataFrame, keep: Column, scenario: str = "scenario_id", by: Sequence[str] = ("failure_subtype", "planner_failure_reason"), taxonomy: str = "failure_taxonomy") -> DataFrame:
     """Subtypes of known failures inside a stratum, with flag counts."""
     rows = df.filter(keep & (F.col(taxonomy) == "known_failure"))
-    on = lambda n: F.sum((num_or(df, n, 0.0) > 0).cast("bigint")).alias(f"{n}_rows")
+    on = lambda n: F.sum((num_filled(df, n) > 0).cast("bigint")).alias(f"{n}_rows")
     return rows.groupBy(*by).agg(F.count("*").alias("count"), F.countDistinct(scenario).alias("scenario_count"),
                                  *[on(n) for n in ("collision_flag", "road_boundary_flag", "kinematic_flag", "initial_overlap_count")])
 

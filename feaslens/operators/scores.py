@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feaslens.functions.columns import clip, mean_of, num_or, with_scenario_id
+from feaslens.functions.columns import clip, mean_of, num_filled, num_or, with_scenario_id
 from feaslens.functions.frames import Norm, normalize
 from feaslens.operators import ordered
 
@@ -117,24 +117,26 @@ def drivability_scores(df: DataFrame) -> DataFrame:
 
 
 def forecast_scores(df: DataFrame) -> DataFrame:
-    """Constant-velocity forecast: separation, overlap and their risk."""
+    """Constant-velocity forecast: separation, overlap and their risk.
+
+    The scaled neighbour density stands in for the overlap only when no row has one. Scaling a scaled column changes nothing, so all
+    terms need one pass.
+    """
     x = _inputs(df)
     sep = F.coalesce(num_or(df, "cv_min_predicted_separation_3s_m"), x["distance"] - F.coalesce(x["closing"], F.lit(0.0)) * 3.0)
-    out = with_scenario_id(df).withColumn("minimum_predicted_separation_3s_m", sep)
     overlap = num_or(df, "cv_occupancy_overlap_integral_3s")
-    dens = normalize(out.withColumn("_near", num_or(df, "nearby_agent_count_10m", 0.0)), [Norm("_near", "_near_n")])
-    # The neighbour density stands in only when no row has the forecast overlap.
     some = df.agg(F.count(overlap).alias("n")).select("n")
-    dens = dens.withColumn("_some", some.scalar()).withColumn(
-        "occupancy_overlap_integral_3s", F.when(F.col("_some") > 0, overlap).otherwise(F.col("_near_n")))
+    out = with_scenario_id(df).withColumns({"minimum_predicted_separation_3s_m": sep, "_overlap": overlap, "_near": num_or(df, "nearby_agent_count_10m", 0.0)})
     s = F.col("minimum_predicted_separation_3s_m")
     more = {"minimum_predicted_separation_over_3s_m": s, "minimum_predicted_separation_3s": s, "minimum_predicted_separation_3s_inverse": -s,
             "ca_forecast_collision_risk": F.lit(None).cast("double"), "ca_forecast_available": F.lit(False),
             "ca_forecast_unavailable_reason": F.lit("current acceleration unavailable; recorded future trajectory is forbidden")}
-    out = dens.withColumns({**more, **_no_access("current_state_cv_forecast")})
-    out = normalize(out, [Norm("minimum_predicted_separation_3s_inverse", "cv_forecast_collision_risk", keep_null=True)])
-    out = _risk(out, "forecast_risk_score", [("minimum_predicted_separation_3s_inverse", False), ("occupancy_overlap_integral_3s", False),
-                                             ("minimum_predicted_separation_3s_m", True)])
+    out = out.withColumns({**more, **_no_access("current_state_cv_forecast")})
+    out = normalize(out, [Norm("minimum_predicted_separation_3s_inverse", "cv_forecast_collision_risk", keep_null=True), Norm("_overlap", "_overlap_n", keep_null=True),
+                          Norm("minimum_predicted_separation_3s_m", "_sep_n", invert=True, keep_null=True), Norm("_near", "_near_n")])
+    pick = lambda a, b: F.when(F.col("_some") > 0, F.col(a)).otherwise(F.col(b))
+    out = out.withColumn("_some", some.scalar()).withColumns({"occupancy_overlap_integral_3s": pick("_overlap", "_near_n"), "_term": pick("_overlap_n", "_near_n")})
+    out = out.withColumn("forecast_risk_score", mean_of(["cv_forecast_collision_risk", "_term", "_sep_n"]))
     return out.select(*_ids(out), "cv_forecast_collision_risk", "occupancy_overlap_integral_3s", "minimum_predicted_separation_3s_m", *more,
                       "forecast_risk_score", "baseline_family", *ACCESS_FLAGS)
 
@@ -213,7 +215,7 @@ def composite_scores(df: DataFrame) -> DataFrame:
 
 
 def cv_composite(df: DataFrame) -> Column:
-    g = lambda c: num_or(df, c, 0.0)
+    g = lambda c: num_filled(df, c)
     return 0.5 * g("cv_rcr") + 0.3 * g("cv_c_time") + 0.2 * g("cv_c_density")
 
 
@@ -224,8 +226,8 @@ def density_term(gtoa_norm_union: Column, oce_norm: Column, gtoa_weight: float =
 def redi(df: DataFrame, use_maneuver: bool, weights: Mapping[str, float] | None = None, prefix: str = "") -> Column:
     """Composite of space, time and density terms, with the manoeuvre term where it is known."""
     w = {"space": 0.4, "time": 0.2, "maneuver": 0.3, "density": 0.1, **(weights or {})}
-    space = F.coalesce(num_or(df, f"{prefix}c_space_drv"), num_or(df, f"{prefix}c_space", 0.0))
-    time, dens = num_or(df, f"{prefix}c_time", 0.0), num_or(df, f"{prefix}c_density", 0.0)
+    space = F.coalesce(num_or(df, f"{prefix}c_space_drv"), num_filled(df, f"{prefix}c_space"))
+    time, dens = num_filled(df, f"{prefix}c_time"), num_filled(df, f"{prefix}c_density")
     plain = clip((w["space"] * space + w["time"] * time + w["density"] * dens) / max(w["space"] + w["time"] + w["density"], 1e-9), 0.0, 1.0)
     man = num_or(df, "c_maneuver")
     full = clip(w["space"] * space + w["time"] * time + w["maneuver"] * man + w["density"] * dens, 0.0, 1.0)
@@ -235,7 +237,7 @@ def redi(df: DataFrame, use_maneuver: bool, weights: Mapping[str, float] | None
 def redi_actionability(df: DataFrame, weights: Mapping[str, float] | None = None, horizon: float = 3.0, dt: float = 0.1, collapse_scale: float = 1.0) -> Column:
     """Action-aware composite: action loss, comfort loss and collapse next to space, time and density."""
     w = {"space": 0.20, "time": 0.15, "cum_action_loss": 0.25, "comfort_loss": 0.15, "collapse": 0.15, "density": 0.10, **(weights or {})}
-    g = lambda c, d=0.0: num_or(df, c, d)
+    g = lambda c, d=0.0: num_filled(df, c, d)
     space = F.coalesce(num_or(df, "c_space_drv"), g("c_space"))
     cum = clip(1.0 - F.coalesce(num_or(df, "asr_cum_final"), g("asr", 1.0)), 0.0, 1.0)
     comfort = num_or(df, "comfort_asr")
