@@ -28,7 +28,7 @@ def oc2(spark, sf):
 def _sweep_sql() -> str:
     """Swept box test: the point is inside the box at the sweep parameter where it is best, found on the piecewise-linear bound."""
     return f"""cvb as (select sample_id, agent_id, is_ego, k::int as k, (k + 1) * 0.5 as t, case when sqrt(vx ** 2 + vy ** 2) >= 0.5 then atan2(vy, vx) else heading end as h, (length + 1) / 2 as hl, (width + 1) / 2 as hw,
-  x + vx * case when 0.5 * sqrt(vx ** 2 + vy ** 2) < 0.05 then (k + 1) * 0.5 else k * 0.5 end as ax, y + vy * case when 0.5 * sqrt(vx ** 2 + vy ** 2) < 0.05 then (k + 1) * 0.5 else k * 0.5 end as ay, x + vx * (k + 1) * 0.5 as bx, y + vy * (k + 1) * 0.5 as by_ from agents, range({len(TIMES)}) g(k)),
+  x + vx * case when 0.5 * sqrt(vx ** 2 + vy ** 2) < 0.06 then (k + 1) * 0.5 else k * 0.5 end as ax, y + vy * case when 0.5 * sqrt(vx ** 2 + vy ** 2) < 0.06 then (k + 1) * 0.5 else k * 0.5 end as ay, x + vx * (k + 1) * 0.5 as bx, y + vy * (k + 1) * 0.5 as by_ from agents, range({len(TIMES)}) g(k)),
 cvq as (select c.*, cell_id, cos(h) * (cx - ax) + sin(h) * (cy - ay) as qx, cos(h) * (cy - ay) - sin(h) * (cx - ax) as qy, cos(h) * (bx - ax) + sin(h) * (by_ - ay) as mx, cos(h) * (by_ - ay) - sin(h) * (bx - ax) as my
   from cvb c, grid where cx between least(ax, bx) - hl - hw and greatest(ax, bx) + hl + hw and cy between least(ay, by_) - hl - hw and greatest(ay, by_) + hl + hw),
 cvw as (select *, case when abs(mx) < 1e-12 then case when abs(qx) <= hl then -1 else 2 end else least((qx - hl) / mx, (qx + hl) / mx) end as x0, case when abs(mx) < 1e-12 then case when abs(qx) <= hl then 2 else -1 end else greatest((qx - hl) / mx, (qx + hl) / mx) end as x1,
@@ -41,7 +41,7 @@ CV_SQL = f"{SAMPLES_SQL}, {GRID_SQL}, {_sweep_sql()}"
 
 @query("OC3_rasterize_cv", f"with {CV_SQL} select sample_id, agent_id, k, cell_id from cv")
 def oc3(spark, sf):
-    return oc.rasterize_cv(sc.samples(spark, sf)[0], TIMES, GRID).select("sample_id", "agent_id", "k", "cell_id")
+    return oc.rasterize_cv(sc.samples(spark, sf)[0], TIMES, GRID, min_motion=0.06).select("sample_id", "agent_id", "k", "cell_id")
 
 
 MU, SPEEDS, SLICES = (0.6, 0.8), (10, 30, 50), (0.5, 1.0, 1.5, 2.0)
@@ -103,7 +103,7 @@ with {OCC_METRIC_SQL.format(lanes=LANES_SQL + ', ' + LANE_CELL_SQL)} select samp
 from sa left join ws using (sample_id) left join en using (sample_id)""")
 def oc7(spark, sf):
     agents, _, lanes = sc.stored(spark, sf)
-    occ = oc.occupancy(oc.rasterize_cv(agents, TIMES, GRID))
+    occ = oc.occupancy(oc.rasterize_cv(agents, TIMES, GRID, min_motion=0.06))
     out = oc.occupancy_metrics(occ, oc.lane_cells(lanes, 3.0, GRID), agents, TIMES, GRID, "cv_")
     return rounded(out.select("sample_id", "cv_weighted_overlap_area_m2", "cv_gtoa_norm_roi", "cv_gtoa_norm_union", "cv_rcr", "cv_rfr", "cv_rfr_drv", "cv_c_space_drv", "cv_tfrc_s", "cv_c_time", "cv_oce", "cv_oce_norm", "cv_max_overlap_count",
                               "cv_mean_overlap_count_nonzero", "cv_c_density"))
@@ -220,7 +220,7 @@ def as11(spark, sf):
 @query("AS1_primitive_safety")
 def as1(spark, sf):
     agents, _, lanes = sc.stored(spark, sf)
-    occ = oc.occupancy(oc.rasterize_cv(agents, TIMES, GRID))
+    occ = oc.occupancy(oc.rasterize_cv(agents, TIMES, GRID, min_motion=0.06))
     prims = agents.filter("is_ego").select("sample_id", (F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("primitive_id")).select(
         "*", F.explode(oc.time_grid(TIMES)).alias("q"))
     lat = (F.col("primitive_id") - 2) * 1.5 * F.col("q.t") / 2.0
