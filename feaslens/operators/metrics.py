@@ -36,7 +36,7 @@ def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> D
 
 def curve(df: DataFrame, y: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """One row per tied score, best first: ``pos, neg`` at the score, ``cum_*`` down to it, ``tot_*`` of the group."""
-    counts = ordered.with_bucket(score_counts(df, y, score, by), "score", buckets)
+    counts = ordered.with_bucket(score_counts(df, y, score, by), "score", buckets, source=scored(df, y, score))
     return ordered.running(counts, by, ["score"], ["pos", "neg"], descending=True).drop("_b")
 
 

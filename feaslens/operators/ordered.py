@@ -21,9 +21,13 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def splitters(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    """One row with at most ``buckets`` sorted values of the column."""
+    """One row with at most ``buckets`` sorted values of the column.
+
+    Repeated values fall into one slot with one hash, so raw rows give the same bounds as distinct values, and the whole pass is a
+    map-side aggregate of ``buckets`` rows.
+    """
     slot = F.pmod(F.xxhash64(value), F.lit(buckets))
-    pick = F.min_by(F.col(value), F.struct(F.xxhash64(F.col(value), F.lit(7)), F.col(value)))
+    pick = F.min_by(F.col(value), F.xxhash64(F.col(value), F.lit(7)))
     picked = df.filter(F.col(value).isNotNull()).groupBy(slot.alias("_slot")).agg(pick.alias("_v"))
     return picked.agg(F.sort_array(F.collect_list("_v")).alias("_splits"))
 
@@ -45,8 +49,9 @@ def with_bucket(df: DataFrame, value: str, buckets: int | None = None, source: D
     n = buckets or default_buckets(df.sparkSession)
     if n == 1:
         return df.withColumn(out, F.lit(0))
-    bounds = splitters(source if source is not None else df, value, n)
-    return df.withColumn("_bounds", bounds.scalar()).withColumn(out, bucket_of(F.col(value), F.col("_bounds"), n)).drop("_bounds")
+    bounds = splitters((source if source is not None else df).select(value), value, n)
+    # One row of at most n values. As a join it is evaluated once, after the aggregation below it.
+    return df.crossJoin(F.broadcast(bounds)).withColumn(out, bucket_of(F.col(value), F.col("_splits"), n)).drop("_splits")
 
 
 def with_hash_bucket(df: DataFrame, unit: str, buckets: int | None = None, out: str = "_b") -> DataFrame:
@@ -73,16 +78,18 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
     )
     inner_order = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     inner = Window.partitionBy(*by, bucket).orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(offsets, [*by, bucket])
-    for c in sums:
-        joined = joined.withColumn(f"cum_{c}", F.sum(c).over(inner) + F.col(f"_o_{c}"))
-    return joined.drop(*[f"_o_{c}" for c in sums])
+    # Every row has its offset row; a left join keeps the optimizer from pushing a null test of the bucket below the aggregation.
+    rows = df
+    for b in by:
+        rows = rows.filter(F.col(b).isNotNull())
+    joined = rows.join(offsets, [*by, bucket], "left")
+    return joined.withColumns({f"cum_{c}": F.sum(c).over(inner) + F.col(f"_o_{c}") for c in sums}).drop(*[f"_o_{c}" for c in sums])
 
 
 def value_counts_running(df: DataFrame, by: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values per group with count ``n``, running count ``cum_n`` and total ``tot_n``."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    return running(with_bucket(counts, value, buckets), by, [value], ["n"])
+    return running(with_bucket(counts, value, buckets, source=df), by, [value], ["n"])
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), buckets: int | None = None,

@@ -17,7 +17,7 @@ def local_session(app: str = "feaslens", cpus: str | int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FEASLENS_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
