@@ -114,8 +114,8 @@ def px12(spark, sf):
 with {SAMPLES_SQL}, pr as (select e.sample_id, o.agent_id, {distance_sql('e', 'o')} as d, (o.x - e.x) * (o.vx - e.vx) + (o.y - e.y) * (o.vy - e.vy) as dot, (o.vx - e.vx) ** 2 + (o.vy - e.vy) ** 2 as vv,
   greatest(sqrt((o.x - e.x) ** 2 + (o.y - e.y) ** 2), 1e-6) as cd from agents e join agents o on e.sample_id = o.sample_id and e.is_ego and not o.is_ego),
 q as (select *, case when vv > 1e-6 and dot < 0 then -dot / vv end as ttc, greatest(-dot / cd, 0) as cl from pr)
-select sample_id, {r('min(d)')} as current_min_distance_m, min(d) = 0 as current_collision, {r('coalesce(min(ttc), -1)', 5)} as current_ttc_s, arg_min(agent_id, d) as nearest_agent_id,
-  {r('arg_min(sqrt(vv), d)')} as nearest_agent_rel_speed_mps, {r('arg_min(cl, d)')} as nearest_agent_closing_speed_mps, {r('coalesce(arg_min(cl, ttc), 0)')} as ttc_closing_speed_mps,
+select sample_id, {r('min(d)')} as current_min_distance_m, min(d) = 0 as current_collision, {r('coalesce(min(ttc), -1)', 5)} as current_ttc_s, arg_min(agent_id, {{'d': d, 'i': agent_id}}) as nearest_agent_id,
+  {r("arg_min(sqrt(vv), {'d': d, 'i': agent_id})")} as nearest_agent_rel_speed_mps, {r("arg_min(cl, {'d': d, 'i': agent_id})")} as nearest_agent_closing_speed_mps, {r('coalesce(arg_min(cl, ttc), 0)')} as ttc_closing_speed_mps,
   sum((d <= 10)::int)::bigint as nearby_agent_count_10m, sum((d <= 20)::int)::bigint as nearby_agent_count_20m from q group by 1""")
 def px3(spark, sf):
     out = px.current_proximity(sc.samples(spark, sf)[0])

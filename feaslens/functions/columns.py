@@ -127,7 +127,9 @@ def ttc_bucket(col: Column | str) -> Column:
 
 def hex_unit(digest: Column, start: int, digits: int) -> Column:
     """Hex digits of a digest as a number in [0, 1). Up to 16 digits."""
-    whole = F.conv(F.substring(digest, start, digits), 16, 10).cast("decimal(20,0)").cast("double")
+    # Up to 15 digits fit a signed long; more need a decimal on the way.
+    text = F.conv(F.substring(digest, start, digits), 16, 10)
+    whole = (text.cast("bigint") if digits <= 15 else text.cast("decimal(20,0)")).cast("double")
     return whole / F.lit(float(16**digits))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feaslens.functions import geometry as geo
 from feaslens.functions.columns import smoothstep, smoothstep_slope, wrap_to_pi
-from feaslens.operators import labels
+from feaslens.operators import labels, ordered
 
 # Action libraries (name, family, cost, acceleration, lateral offset, comfortable).
 BASE_ACTIONS = (
@@ -124,7 +124,7 @@ def rollout_actions(ego: DataFrame, actions: DataFrame, dt: float, keep: Sequenc
 
     Constant acceleration that stops at standstill, smooth lateral shift over the horizon, heading from the two speeds.
     """
-    spread = ego.crossJoin(F.broadcast(actions))  # the action table has at most a few dozen rows per variant
+    spread = ordered.spread(ego, "sample_id").crossJoin(F.broadcast(actions))  # the action table has at most a few dozen rows per variant
     base = spread.select(
         "sample_id", *keep, "horizon_s", "accel", "lat_m", "length", "width", F.col("x").alias("x0"), F.col("y").alias("y0"),
         F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("v0"), _travel_heading().alias("h0"))
@@ -312,7 +312,7 @@ def rollout_lattice(ego: DataFrame, candidates: DataFrame, horizon: float, dt: f
     """
     n = max(1, int(round(horizon / max(dt, 1e-6))))
     info = [c for c in candidates.columns]
-    base = ego.crossJoin(F.broadcast(candidates)).select(  # 35 or 130 candidates
+    base = ordered.spread(ego, "sample_id").crossJoin(F.broadcast(candidates)).select(  # 35 or 130 candidates
         "sample_id", *info, "length", "width", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("heading").alias("h0"), F.cos("heading").alias("c0"),
         F.sin("heading").alias("s0"), F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).alias("v0"))
     # Steps of deceleration that end above standstill; the step after it ends at zero.

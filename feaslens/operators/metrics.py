@@ -532,9 +532,9 @@ def overlap_sensitivity(df, y: str, scores: Sequence[str], overlap: str = "initi
                         strata: Sequence[str] = (), levels=(0.05,), buckets=None) -> DataFrame:
     """Metrics with all rows and without rows that overlap at the start, plus the change between the two."""
     clean = F.coalesce(num(overlap), F.lit(0.0)) <= 0
-    mode = F.explode(F.when(clean, F.array(F.lit("all_primary"), F.lit("exclude_initial_overlap_count_gt0"))).otherwise(
-        F.array(F.lit("all_primary")))).alias("sensitivity_mode")
-    long = df.withColumn("_all", F.lit("all")).select("*", mode)
+    marked = df.withColumns({"_all": F.lit("all"), "_clean": clean})
+    long = marked.withColumn("sensitivity_mode", F.lit("all_primary")).unionByName(
+        marked.filter("_clean").withColumn("sensitivity_mode", F.lit("exclude_initial_overlap_count_gt0")))
     rows = stratum_long(long, y, ["_all", *strata], scores, ["sensitivity_mode"]).withColumn(
         "stratum_column", F.when(F.col("stratum_column") == "_all", "overall").otherwise(F.col("stratum_column")))
     keys = ["stratum_column", "stratum", "score_name"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feaslens.functions import geometry as geo
 from feaslens.functions.columns import clip, nearest_bin
+from feaslens.operators import ordered
 from feaslens.operators.actions import _gap_to_segment
 
 
@@ -30,7 +31,7 @@ def rasterize_cv(agents: DataFrame, times: Sequence[float], grid: geo.Grid, infl
     The sweep of a box that does not turn is tested in the box frame, so no hull is built.
     """
     h = cv_heading()
-    base = agents.select("sample_id", "agent_id", "is_ego", "x", "y", "vx", "vy", F.cos(h).alias("c"), F.sin(h).alias("s"),
+    base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "vx", "vy", F.cos(h).alias("c"), F.sin(h).alias("s"),
                          F.greatest(F.col("length") + 2 * inflation, F.lit(0.1)).alias("L"), F.greatest(F.col("width") + 2 * inflation, F.lit(0.1)).alias("W"))
     rows = base.select("*", F.explode(time_grid(times)).alias("q")).select(
         "sample_id", "agent_id", "is_ego", "c", "s", (F.col("L") / 2).alias("hl"), (F.col("W") / 2).alias("hw"), F.col("q.k").alias("k"), F.col("q.t").alias("t"),
@@ -59,30 +60,35 @@ def rasterize_tubes(agents: DataFrame, edges: DataFrame, times: Sequence[float],
                     slice_times: Sequence[float], mu_ego: float = 0.8, mu_other: float = 0.6) -> DataFrame:
     """Cells inside the reachable tube of each agent: nearest friction and speed bin, nearest time slice, even-odd rule.
 
-    Counting crossings over outer rings and holes together removes the holes. The slice table is a parameter table
-    (bins × bins × slices) and joins by equality.
+    Counting crossings over outer rings and holes together removes the holes. Cells are filled by scan lines, so edges are looked at once
+    per grid row and only inside cells are made. The slice table is a parameter table (bins × bins × slices) and joins by equality.
     """
     speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) * 3.6
-    base = agents.select("sample_id", "agent_id", "is_ego", "x", "y", "heading", F.cos("heading").alias("c"), F.sin("heading").alias("s"),
+    base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "heading", F.cos("heading").alias("c"), F.sin("heading").alias("s"),
                          nearest_bin(F.when(F.col("is_ego"), F.lit(mu_ego)).otherwise(F.lit(mu_other)), mu_bins).alias("mu"),
                          nearest_bin(speed, speed_bins).alias("v0_kph"))
     nearest = [min(range(len(slice_times)), key=lambda i: (abs(slice_times[i] - t), i)) for t in times]
     asks = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(t)).alias("t"), F.lit(n).alias("slice")) for i, (t, n) in enumerate(zip(times, nearest))])).alias("q")
     slices = tube_slices(edges).withColumnRenamed("k", "slice").withColumn("v0_kph", F.col("v0_kph").cast("double"))
     rows = base.select("*", asks).select("*", "q.k", "q.t", "q.slice").drop("q").join(slices, ["mu", "v0_kph", "slice"])
-    corners = [(F.col(a), F.col(b)) for a in ("lx0", "lx1") for b in ("ly0", "ly1")]
-    gx = [F.col("x") + F.col("c") * a - F.col("s") * b for a, b in corners]
-    gy = [F.col("y") + F.col("s") * a + F.col("c") * b for a, b in corners]
-    cells = geo.cells_for_bbox(rows, grid, F.least(*gx), F.greatest(*gx), F.least(*gy), F.greatest(*gy))
-    dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
-    cells = cells.withColumns({"px": F.col("c") * dx + F.col("s") * dy, "py": F.col("c") * dy - F.col("s") * dx})
-
-    def cross(e: Column) -> Column:
-        straddle = (e["y1"] > F.col("py")) != (e["y2"] > F.col("py"))
-        at = e["x1"] + (F.col("py") - e["y1"]) * (e["x2"] - e["x1"]) / F.when(e["y2"] == e["y1"], F.lit(1.0)).otherwise(e["y2"] - e["y1"])
-        return F.when(straddle & (F.col("px") < at), 1).otherwise(0)
-    odd = F.aggregate("edges", F.lit(0), lambda acc, e: acc + cross(e)) % 2 == 1
-    return cells.filter(odd).select("sample_id", "agent_id", "is_ego", "k", "t", "cell_id")
+    gx = lambda a, b: F.col("x") + F.col("c") * a - F.col("s") * b
+    gy = lambda a, b: F.col("y") + F.col("s") * a + F.col("c") * b
+    ends = [(F.col(a), F.col(b)) for a in ("lx0", "lx1") for b in ("ly0", "ly1")]
+    res, top = grid.resolution, F.greatest(*[gy(a, b) for a, b in ends])
+    first = lambda v, low: F.ceil((v - low) / res - 0.5).cast("int")
+    low, high = F.greatest(first(F.least(*[gy(a, b) for a, b in ends]), grid.y_min), F.lit(0)), F.least(first(top, grid.y_min), F.lit(grid.ny - 1))
+    turned = rows.filter(low <= high).withColumn("_e", F.transform("edges", lambda e: F.struct(
+        gx(e["x1"], e["y1"]).alias("x1"), gy(e["x1"], e["y1"]).alias("y1"), gx(e["x2"], e["y2"]).alias("x2"), gy(e["x2"], e["y2"]).alias("y2"))))
+    # Scan lines: per grid row the sorted crossings come in pairs, and the cells between a pair are inside.
+    lines = turned.select("sample_id", "agent_id", "is_ego", "k", "t", "_e", F.explode(F.sequence(low, high)).alias("_iy")).withColumn("_cy", grid.center_y(F.col("_iy")))
+    hit = F.filter("_e", lambda e: (e["y1"] > F.col("_cy")) != (e["y2"] > F.col("_cy")))
+    at = F.array_sort(F.transform(hit, lambda e: e["x1"] + (F.col("_cy") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+    lines = lines.withColumn("_xs", at).drop("_e").filter(F.size("_xs") >= 2)
+    spans = lines.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.floor(F.size("_xs") / 2) - 1).cast("int"))))
+    x0 = F.greatest(first(F.get("_xs", F.col("_j") * 2), grid.x_min), F.lit(0))
+    x1 = F.least(first(F.get("_xs", F.col("_j") * 2 + 1), grid.x_min) - 1, F.lit(grid.nx - 1))
+    cells = spans.withColumns({"_x0": x0, "_x1": x1}).filter("_x0 <= _x1").withColumn("_ix", F.explode(F.sequence("_x0", "_x1")))
+    return cells.select("sample_id", "agent_id", "is_ego", "k", "t", (F.col("_iy") * grid.nx + F.col("_ix")).cast("bigint").alias("cell_id"))
 
 
 def occupancy(cells: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:

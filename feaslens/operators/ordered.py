@@ -163,6 +163,15 @@ def dense_index(keys: DataFrame, by: Sequence[str], unit: str, tie: Sequence[str
     return placed.withColumn(out, F.col("cum_one") - 1).drop("cum_one", "one", "_b")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions rows that are about to be expanded many times.
+
+    Adaptive execution sizes partitions by what goes in, so a small input that grows a thousandfold would end in few tasks; an explicit
+    partition count is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def assert_small(df: DataFrame, limit: int, what: str) -> DataFrame:
     """Checks a side that is about to be broadcast: at most ``limit`` rows, else an error that names it."""
     if df.limit(limit + 1).count() > limit:
