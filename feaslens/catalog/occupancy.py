@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from feaslens.catalog import scenes as sc
 from feaslens.catalog.base import query, r, read, rounded
 from feaslens.catalog.scenes import LANES_SQL, SAMPLES_SQL, gap2_sql
+from feaslens.catalog.tracks import variant_sql
 from feaslens.functions import geometry as geo
+from feaslens.operators import actions as ac
 from feaslens.operators import curves as cv
 from feaslens.operators import occupancy as oc
 
@@ -217,7 +219,15 @@ def as11(spark, sf):
     return rounded(cv.stability_filter(t, ["l_orderkey"], VEH, 0.8))
 
 
-@query("AS1_primitive_safety")
+PRIMS_SQL = f"""pm as (select a.sample_id, p::int as primitive_id, k::int as k, sqrt(vx ** 2 + vy ** 2) * (k + 1) * 0.5 as x, (p - 2) * 1.5 * ((k + 1) * 0.5) / 2.0 as y, length, width from agents a, range(5) t(p), range({len(TIMES)}) g(k) where is_ego),
+pc as (select pm.sample_id, primitive_id, k, cell_id from pm, grid where abs(cx - x) <= length / 2 and abs(cy - y) <= width / 2),
+tk as (select distinct sample_id, k, cell_id from cv where not is_ego),
+pp as (select pc.sample_id, primitive_id, pc.k, bool_or(tk.cell_id is not null) as hit, count(lc.cell_id) / count(*) as fr from pc left join tk on pc.sample_id = tk.sample_id and pc.k = tk.k and pc.cell_id = tk.cell_id left join lc on pc.sample_id = lc.sample_id and pc.cell_id = lc.cell_id group by 1, 2, 3)"""
+
+
+@query("AS1_primitive_safety", f"""
+with {CV_SQL}, {LANES_SQL}, {LANE_CELL_SQL}, {PRIMS_SQL} select pm.sample_id, pm.primitive_id, pm.k, not coalesce(hit, false) and (pm.sample_id not in (select sample_id from lc) or coalesce(fr, 0) >= 0.8) as safe, {r('coalesce(fr, 0)')} as drivable_fraction
+from pm left join pp on pm.sample_id = pp.sample_id and pm.primitive_id = pp.primitive_id and pm.k = pp.k""")
 def as1(spark, sf):
     agents, _, lanes = sc.stored(spark, sf)
     occ = oc.occupancy(oc.rasterize_cv(agents, TIMES, GRID, min_motion=0.06))
@@ -225,10 +235,20 @@ def as1(spark, sf):
         "*", F.explode(oc.time_grid(TIMES)).alias("q"))
     lat = (F.col("primitive_id") - 2) * 1.5 * F.col("q.t") / 2.0
     prims = prims.select("sample_id", "primitive_id", F.lit("keep").alias("family"), F.lit(0.0).alias("cost"), F.lit(1.0).alias("weight"), F.col("q.k").alias("k"), F.col("q.t").alias("t"), (F.col("v") * F.col("q.t")).alias("x"), lat.alias("y"), F.lit(0.0).alias("heading"))
-    return rounded(cv.primitive_safety(agents, prims, occ, oc.lane_cells(lanes, 3.0, GRID), GRID))
-
-
-@query("AS12_aligned_features")
+    return rounded(cv.primitive_safety(agents, prims, occ, oc.lane_cells(lanes, 3.0, GRID), GRID).select("sample_id", "primitive_id", "k", "safe", "drivable_fraction"))
+
+
+@query("AS12_aligned_features", f"""
+with {SAMPLES_SQL}, {LANES_SQL}, {variant_sql(ac.VARIANTS)},
+ob as (select sample_id, k::int as k, x + vx * k * {sc.DT} as x, y + vy * k * {sc.DT} as y, case when sqrt(vx ** 2 + vy ** 2) > 0.2 then atan2(vy, vx) else heading end as heading, length, width from agents, range(1, 9) t(k) where not is_ego),
+hk as (select distinct p.sample_id, p.h, p.lib, p.action, p.k from rollv p join ob o on p.sample_id = o.sample_id and p.k = o.k and {sc.overlap_sql('p', 'o')}),
+sa as (select p.sample_id, v.variant_id, p.action, p.cost, p.k, p.t, hk.k is null and (p.sample_id not in (select sample_id from seg) or coalesce(l.g <= v.b, false)) as safe from rollv p join vr v on p.h = v.h and p.lib = v.lib
+  left join hk on p.sample_id = hk.sample_id and p.h = hk.h and p.lib = hk.lib and p.action = hk.action and p.k = hk.k left join ltv l on p.sample_id = l.sample_id and p.h = l.h and p.lib = l.lib and p.action = l.action and p.k = l.k),
+sc as (select *, min(safe::int) over (partition by sample_id, variant_id, action order by k) = 1 as cs from sa), cu as (select sample_id, variant_id, t, avg(safe::int) as sl, avg(cs::int) as cum from sc group by 1, 2, 3),
+dr as (select *, greatest((lag(cum) over w - cum) / {sc.DT}, 0) as d from cu window w as (partition by sample_id, variant_id order by t)),
+ft as (select sample_id, variant_id, arg_min(cum, t) i, arg_max(cum, t) f, min(sl) sm, coalesce(min(t) filter (cum <= 0.05), max(t) + {sc.DT}) td, min(t) filter (sl < 0.999) tc, max(d) cm, 1 - avg(cum) filter (t <= 0.5) eb from dr group by 1, 2)
+select sample_id, variant_id, {r('i')} as asr_cum_initial, {r('f')} as asr_cum_final, {r('sm')} as asr_slice_min, {r('td')} as ttad_s, {r('coalesce(tc, td)')} as time_to_first_conflict_s, {r('cm')} as collapse_rate_max_per_s, {r('eb')} as early_blocking_ratio from ft""")
 def as12(spark, sf):
     agents, states, lanes = sc.stored(spark, sf)
-    return rounded(cv.aligned_features(agents, states, lanes, sc.DT))
+    out = cv.aligned_features(agents, states, lanes, sc.DT)
+    return rounded(out.select("sample_id", "variant_id", "asr_cum_initial", "asr_cum_final", "asr_slice_min", "ttad_s", "time_to_first_conflict_s", "collapse_rate_max_per_s", "early_blocking_ratio"))

@@ -249,11 +249,35 @@ def ac_labels(spark, sf):
     return rounded(out.select("sample_id", "comfort_feasible_ratio", "emergency_feasible_ratio", "min_required_action_cost", "time_to_no_comfort_s", "time_to_no_emergency_s", "actionability_label_id"))
 
 
-@query("AC19_label_variants")
+# The derived scenes record three seconds of future, so the four-second variant is checked at three here.
+VARIANTS = [ac.Variant(v.variant_id, v.family, min(v.horizon_s, 3.0), v.lane_buffer_m, v.action_library, v.future_handling) for v in ac.VARIANTS]
+
+
+def variant_sql(variants) -> str:
+    """Rollouts ``rollv`` per (library, horizon) and lane distances ``ltv`` for a list of variants."""
+    rows = values_sql([(v.variant_id, v.horizon_s, v.lane_buffer_m, v.action_library, v.future_handling) for v in variants])
+    acts = " union all ".join(f"select '{n}' as lib, * from (values {values_sql(lib)}) a(action, family, cost, accel, lat_m, comfort)" for n, lib in ac.LIBRARIES.items())
+    return f"""vr as (select * from (values {rows}) v(variant_id, h, b, lib, fh)), acts as ({acts}), combos as (select distinct h, lib from vr),
+e0 as (select sample_id, x, y, length, width, sqrt(vx ** 2 + vy ** 2) as v0, case when sqrt(vx ** 2 + vy ** 2) > 0.2 then atan2(vy, vx) else heading end as h0 from agents where is_ego),
+rv as (select sample_id, h, c.lib, action, family, cost, comfort, k::int as k, k * {DT}::double as t, x, y, h0, length, width, lat_m, case when accel < 0 then least(k * {DT}::double, v0 / greatest(-accel, 1e-9)) else k * {DT}::double end as tt, v0, accel, least(1, k * {DT}::double / h) as u
+  from e0, combos c join acts a on a.lib = c.lib, range(1, 9) g(k) where k * {DT}::double <= h + 1e-9),
+rollv as (select sample_id, h, lib, action, family, cost, comfort, k, t, x + cos(h0) * greatest(v0 * tt + 0.5 * accel * tt * tt, 0) - sin(h0) * lat_m * u * u * (3 - 2 * u) as x, y + sin(h0) * greatest(v0 * tt + 0.5 * accel * tt * tt, 0) + cos(h0) * lat_m * u * u * (3 - 2 * u) as y,
+  h0 + atan2(lat_m * 6 * u * (1 - u) / h, greatest(greatest(v0 + accel * tt, 0), 0.2)) as heading, length, width from rv),
+ltv as (select p.sample_id, p.h, p.lib, p.action, p.k, p.t, sqrt(min({gap2_sql('p')})) as g from rollv p join seg s on p.sample_id = s.sample_id group by all)"""
+
+
+@query("AC19_label_variants", f"""
+with {SAMPLES_SQL}, {LANES_SQL}, {OBS_SQL}, {variant_sql(VARIANTS)},
+hv as (select p.sample_id, p.h, p.lib, p.action, f.fh, min(p.t) as ct from rollv p, (values ('skip_invalid'), ('cv_fallback')) f(fh), obs o where p.sample_id = o.sample_id and p.k = o.k and (o.valid or f.fh = 'cv_fallback') and {overlap_sql('p', 'o')} group by all),
+ov as (select l.sample_id, l.h, l.lib, l.action, v.variant_id, min(l.t) as lt from ltv l join vr v on l.h = v.h and l.lib = v.lib where not coalesce(l.g <= v.b, false) group by all),
+fv as (select a.sample_id, v.variant_id, a.h, a.cost, a.comfort, least(ct, lt) as ft from (select distinct sample_id, h, lib, action, cost, comfort from rollv) a join vr v on a.h = v.h and a.lib = v.lib left join hv on a.sample_id = hv.sample_id and a.h = hv.h and a.lib = hv.lib and a.action = hv.action and hv.fh = v.fh
+  left join ov on a.sample_id = ov.sample_id and a.action = ov.action and v.variant_id = ov.variant_id),
+z as (select sample_id, variant_id, sum((ft is null and comfort)::int) / sum(comfort::int) as c, sum((ft is null)::int) / count(*) as e, min(cost) filter (ft is null) as mc, case when bool_or(ft is null) then max(h) else max(ft) end as te from fv group by 1, 2)
+select sample_id, variant_id, {r('c')} as comfort_feasible_ratio, {r('e')} as emergency_feasible_ratio, mc as min_required_action_cost, te as time_to_no_emergency_s, case when e <= 0 then 3 when c <= 0.25 or e <= 0.35 then 2 when c < 0.75 or e < 0.65 then 1 else 0 end as actionability_label_id from z""")
 def ac19(spark, sf):
     agents, states, lanes = sc.stored(spark, sf)
-    variants = [ac.Variant(v.variant_id, v.family, min(v.horizon_s, 3.0), v.lane_buffer_m, v.action_library, v.future_handling) for v in ac.VARIANTS]
-    return rounded(ac.label_variants(agents, states, lanes, DT, variants))
+    out = ac.label_variants(agents, states, lanes, DT, VARIANTS)
+    return rounded(out.select("sample_id", "variant_id", "comfort_feasible_ratio", "emergency_feasible_ratio", "min_required_action_cost", "time_to_no_emergency_s", "actionability_label_id"))
 
 
 @query("AC20_feasibility_audit")

@@ -190,7 +190,10 @@ def hard_cases(df: DataFrame) -> DataFrame:
 
 
 def stratified_sets(df: DataFrame, key: str, scenario: str, caps: Mapping[int, int], fraction: float, seed: int) -> DataFrame:
-    """Membership rows (set name + row): capped training set with hard cases, natural test, hard cases, enriched set."""
+    """Membership rows (set name + row): capped training set with hard cases, natural test, hard cases, enriched set.
+
+    ``key`` is unique. Only the capped picks, bounded by the caps, are joined back; everything else is a flag of the row.
+    """
     split = exact_split(hard_case_flag(df), scenario, fraction, seed)
     lab = F.coalesce(num("label_id").cast("int"), F.lit(0))
     work = split.withColumn("_lab", lab).withColumn("_u", unit_hash(F.lit(str(seed)), key))
@@ -201,16 +204,12 @@ def stratified_sets(df: DataFrame, key: str, scenario: str, caps: Mapping[int, i
     for k, v in capped.items():
         cap = F.when(F.col("_lab") == k, F.lit(v)).otherwise(cap)
     limited = train.filter(F.col("_lab").isin(*capped))
-    kept = limited.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") <= max(capped.values())).filter(F.col("_r") <= cap).drop("_r")
-    free = train.filter(~F.col("_lab").isin(*capped))
-    hard_extra = train.filter(F.col("is_hard") & F.col("_lab").isin(*capped))
-    enriched = kept.unionByName(free).unionByName(hard_extra).dropDuplicates([key])
-    name = lambda d, n: d.select(F.lit(n).alias("split"), *df.columns)
-    out = name(enriched, "stratified_train")
-    for part, label in ((work.filter("is_test"), "natural_test"), (work.filter("is_hard"), "hard_cases"),
-                        (work.filter((F.col("_lab") >= 2) | F.col("is_hard")), "emergency_enriched")):
-        out = out.unionByName(name(part, label))
-    return out
+    kept = limited.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") <= max(capped.values())).filter(F.col("_r") <= cap)
+    rows = work.join(kept.select(key, F.lit(True).alias("_kept")), key, "left")
+    in_train = ~F.col("is_test") & (F.col("is_hard") | ~F.col("_lab").isin(*capped) | F.coalesce("_kept", F.lit(False)))
+    sets = {"stratified_train": in_train, "natural_test": F.col("is_test"), "hard_cases": F.col("is_hard"), "emergency_enriched": (F.col("_lab") >= 2) | F.col("is_hard")}
+    names = F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in sets.items()]))
+    return rows.select(F.explode(names).alias("split"), *df.columns)
 
 
 def set_summary(members: DataFrame, scenario: str) -> DataFrame:
