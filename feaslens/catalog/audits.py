@@ -9,8 +9,10 @@ from feaslens.catalog import scenes as sc
 from feaslens.catalog.base import SCORED_SQL, query, r, read, rounded, scored_rows
 from feaslens.catalog.labels import RATIO_SQL, TAX_SQL, ratio_rows, rule_sql, taxonomy_rows
 from feaslens.catalog.matching import MATCH_SQL, match_rows
-from feaslens.catalog.metrics import AUPRC, ORDINAL_SQL, curve_sql, ordinal_rows, strict
-from feaslens.catalog.scenes import DT, SAMPLES_SQL
+from feaslens.catalog.metrics import AUPRC, ORDINAL_SQL, bundle_cols, bundle_sql, curve_sql, ordinal_rows, strict
+from feaslens.catalog.columns import hash_sql
+from feaslens.catalog.scenes import DT, SAMPLES_SQL, distance_sql
+from feaslens.catalog.tracks import normal_sql
 from feaslens.operators import actions as ac
 from feaslens.operators import audit as au
 from feaslens.operators import bootstrap as bt
@@ -337,7 +339,17 @@ def au20(spark, sf):
     return rounded(au.sanity_checks(df, [("a", "b")], ["a", "ttad_s"]))
 
 
-@query("AU21_robustness")
+def _perturbed(kind: str, level: float, x: str, y: str, keep: str = "true") -> str:
+    return f"select '{kind}' as kind, {level}::double as level, sample_id, agent_id, is_ego, {x} as x, {y} as y, heading, length, width from agents where {keep}"
+
+
+ROBUST_SQL = f"""{SAMPLES_SQL}, pt as ({_perturbed('position', 0.5, f"case when is_ego then x else x + 0.5 * {normal_sql('position', 'x')} end", f"case when is_ego then y else y + 0.5 * {normal_sql('position', 'y')} end")}
+  union all {_perturbed('velocity', 1.0, 'x', 'y')} union all {_perturbed('dropout', 0.3, 'x', 'y', keep='is_ego or ' + hash_sql("'7|dropout|drop|' || sample_id || '|' || agent_id") + ' >= 0.3')}),
+ds as (select e.kind, e.level, e.sample_id, e.agent_id as ego, coalesce(min(case when o.agent_id is not null then {distance_sql('e', 'o')} end), 9999.0) as d from (select * from pt where is_ego) e left join (select * from pt where not is_ego) o on e.kind = o.kind and e.sample_id = o.sample_id group by all),
+rb as (select kind, level, -d as score, (ego % 3 = 0)::int as y from ds), {bundle_sql('kind, level', 'rb', levels=(0.05,))}"""
+
+
+@query("AU21_robustness", f"with {ROBUST_SQL} select kind, level, {bundle_cols((0.05,))} from bundle")
 def au21(spark, sf):
     from feaslens.operators import proximity as px
     agents, _, _ = sc.stored(spark, sf)

@@ -280,10 +280,26 @@ def ac19(spark, sf):
     return rounded(out.select("sample_id", "variant_id", "comfort_feasible_ratio", "emergency_feasible_ratio", "min_required_action_cost", "time_to_no_emergency_s", "actionability_label_id"))
 
 
-@query("AC20_feasibility_audit")
+AUDIT_MODES = values_sql([(n, *spec) for n, spec in ac.AUDIT_SPECS.items()])
+
+
+@query("AC20_feasibility_audit", f"""
+with {SAMPLES_SQL}, {LANES_SQL}, {ACT_SQL}, {LANE_TEST}, md as (select * from (values {AUDIT_MODES}) v(checked_mode, om, use_map, ign)),
+om as (select 'oracle_future' as om, sample_id, agent_id, k, x, y, heading, length, width from states where not is_ego and valid union all
+  select 'cv_current', sample_id, agent_id, k::int, x + vx * k * {DT}, y + vy * k * {DT}, case when sqrt(vx ** 2 + vy ** 2) > 0.2 then atan2(vy, vx) else heading end, length, width from agents, range(0, 7) t(k) where not is_ego),
+ps as (select sample_id, action, k, t, x, y, heading, length, width from roll union all select sample_id, action, 0, 0.0, x, y, heading, length, width from agents, act where is_ego),
+hh as (select p.sample_id, p.action, o.om, p.k, p.t, min(o.agent_id) as ag from ps p join om o on p.sample_id = o.sample_id and p.k = o.k and {overlap_sql('p', 'o')} group by all),
+hc as (select sample_id, action, om, min(ag) filter (k = 0) as s_ag, min({{'t': t, 'a': ag}}) filter (k > 0) as an, min({{'t': t, 'a': ag}}) filter (k > 0 and t > 0.3) as la from hh group by all),
+lb as (select *, sample_id in (select sample_id from seg) and not coalesce(g <= 3.0, false) as bad from lt),
+lf as (select sample_id, action, min(t) filter (bad) as o1, min(t) filter (bad and t > 0.3) as o2, avg(bad::int) as sh, avg(bad::int) filter (t > 0.3) as lsh from lb group by 1, 2),
+m as (select lf.sample_id, lf.action, md.*, case when use_map then case when ign then o2 else o1 end end as l, case when ign then la else an end as h, case when not ign then s_ag end as s, case when use_map then case when ign then lsh else sh end else 0 end as fr
+  from lf cross join md left join hc on lf.sample_id = hc.sample_id and lf.action = hc.action and md.om = hc.om)
+select sample_id, action, checked_mode, s is null and l is null and h is null as feasible, case when s is not null then 0.0 when l is not null and (h is null or l <= h.t) then l else h.t end as first_unsafe_time_s,
+  case when s is not null then 'initial_overlap' when l is not null and (h is null or l <= h.t) then 'map_violation' when h is not null then om || '_collision' else 'no_failure' end as unsafe_reason_primary,
+  case when s is not null then s when l is not null and (h is null or l <= h.t) then null else h.a end as blocking_agent_id, {r('fr')} as map_violation_fraction from m""")
 def ac20(spark, sf):
     agents, states, lanes = sc.stored(spark, sf)
-    return rounded(ac.feasibility_audit(agents, states, lanes, H, DT))
+    return rounded(ac.feasibility_audit(agents, states, lanes, H, DT).drop("blocking_agent_distance_m"))
 
 
 LAT_ROWS = [(i * 7 + j, lo[0], la[0], "emergency" if lo[3] or la[4] else "comfort", lo[1], la[1], la[2], lo[2] + la[3])
