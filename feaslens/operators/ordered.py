@@ -17,7 +17,7 @@ MAX_BUCKETS = 4096
 
 
 def default_buckets(spark: SparkSession) -> int:
-    return max(8, min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(16, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def splitters(df: DataFrame, value: str, buckets: int) -> DataFrame:
