@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feaslens.catalog.base import query, r, read, rounded
+from feaslens.catalog.base import query, read
 from feaslens.catalog.columns import hash_sql
 from feaslens.operators import splits as sp
 
