@@ -70,40 +70,46 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start bytes of the words in one block that begins and ends outside a word."""
+def _block_hashes(data: np.ndarray, breaks: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start bytes and stem hashes of the words in one block that begins and ends outside a word."""
     space = np.ones(len(data) + 2, dtype=bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = breaks[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_LOWER_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * _GOLD), starts
+    back = _power(_INVERSE, len(data) + 1)[starts]
+    whole = mix64((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64) * _GOLD)
+    cut = np.minimum(ends, starts + stem)
+    return whole, starts, mix64((sums[cut] - sums[starts]) * back + np.uint64(stem)) if stem else whole
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of several texts (UTF-8, A-Z in lower case), their byte offsets, and where each text's words begin.
+def word_hashes(texts: list[bytes], breaks: np.ndarray = _SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several texts (UTF-8, A-Z in lower case), their byte offsets, where each text's words begin, and hashes of the first ``stem`` bytes.
+
+    ``breaks`` tells which bytes part words; white space has to be among them.
 
     Work goes in blocks of about one MB cut at white space, so memory stays a few times the text however long it is.
     """
     joined = b" ".join(texts) + b" "
     data = np.frombuffer(joined, dtype=np.uint8)
-    hashes, starts, at = [], [], 0
+    hashes, starts, stems, at = [], [], [], 0
     while at < len(data):
         end = min(at + BLOCK, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
-            more = np.flatnonzero(_SPACE[data[end:end + BLOCK]])
+        while end < len(data) and not breaks[data[end]]:
+            more = np.flatnonzero(breaks[data[end:end + BLOCK]])
             end = end + int(more[0]) if len(more) else min(end + BLOCK, len(data))
-        h, s = _block_hashes(data[at:end])
+        h, s, cut = _block_hashes(data[at:end], breaks, stem)
         hashes.append(h)
         starts.append(s + at)
+        stems.append(cut)
         at = end
     h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
     s = np.concatenate(starts) if starts else np.empty(0, dtype=np.int64)
     begins = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
-    return h, s - np.repeat(begins[:-1], np.diff(np.searchsorted(s, begins))), np.searchsorted(s, begins)
+    first = np.searchsorted(s, begins)
+    return h, s - np.repeat(begins[:-1], np.diff(first)), first, np.concatenate(stems) if stems else h
 
 
 _WEIGHTS = mix64(np.arange(1, 65, dtype=np.uint64) * _GOLD) | np.uint64(1)
@@ -129,17 +135,18 @@ def shingle_hashes(words: np.ndarray, begins: np.ndarray, size: int) -> tuple[np
     return mix64(h), out_begins
 
 
-def batches_of(rows: Iterator, limit: int = 2 * BLOCK) -> Iterator[tuple[dict, list[bytes]]]:
-    """Arrow batches cut so that the texts of one piece have about ``limit`` bytes: (other columns by name, texts in UTF-8)."""
-    for batch in rows:
-        sizes = np.asarray(batch.column("text").nbytes if batch.num_rows < 2 else [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")]).reshape(-1)
-        at = 0
-        while at < batch.num_rows:
-            end, total = at + 1, int(sizes[at])
-            while end < batch.num_rows and total + sizes[end] <= limit:
-                total += int(sizes[end])
-                end += 1
-            piece = batch.slice(at, end - at)
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in piece.column("text")]
-            yield {n: piece.column(n) for n in piece.schema.names if n != "text"}, texts
-            at = end
+def pieces(sizes: list[int], limit: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring items with about ``limit`` in total, at least one item each."""
+    at = 0
+    while at < len(sizes):
+        end, total = at, 0
+        while end < len(sizes) and (end == at or total + sizes[end] <= limit):
+            total += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
+def utf8(column) -> list[bytes]:
+    """Texts of an Arrow column as UTF-8; null is empty."""
+    return [b"" if t is None else t for t in column.cast("binary").to_pylist()]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe, mixing, secrets
+from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,46 @@ def byte_bpe(spark, sf_dir):
 @query("op10_secret_scan", secrets.report_sql())
 def secret_scan(spark, sf_dir):
     return secrets.scan_report(read(spark, sf_dir, "documents"))
+
+
+LEARN = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0"
+HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+
+
+@query("op1_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    return fingerprints.edited_report(read(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def toxicity_scores(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    machine = toxicity.learn(docs, read(spark, sf_dir, "labels"), HELD_OUT.replace("doc_id", "id"))
+    return toxicity.score(docs, machine).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_warc_salvage", warc.REPORT_SQL)
+def warc_salvage(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages")).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_cross_parsing")
+def cross_parsing(spark, sf_dir):
+    rows = langid.predict(read(spark, sf_dir, "documents"), LEARN)
+    return rows.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_block_neighbours", """
+with v as (select vec_id, embedding::double[] as e from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id,
+         sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[2] - p[1]) * (p[2] - p[1])), lambda a, b: a + b)) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+ranked as (select query_id, row_number() over (partition by query_id order by score, vec_id) as rank, vec_id, score from pairs)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 10
+""")
+def block_neighbours(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
