@@ -2,7 +2,9 @@
 
 Terms are the distinct words of a text (ASCII letters in lower case, parted at every other ASCII character) and the first five bytes of longer
 words, as 32-bit hashes. The machine adds a weight per term and, through factors of a few numbers per term, a weight for each pair of terms
-that meet in a text, so that two terms together can say what neither says alone. It is fitted on a bounded sample of labelled rows.
+that meet in a text, so that two terms together can say what neither says alone. It is fitted on a bounded sample of labelled rows: terms
+are kept whose share differs between the classes by more than chance, and those common enough in toxic texts to matter in a pair; a fifth
+of the sample is kept aside to tell after which round to stop.
 
 Defined cases: a null or empty text, and one without known terms, gets the score of the bias alone; labels that are null are not learned from;
 with no labels of either kind the score is 0; a label row repeated or an id labelled twice counts each time; repeated rows get one
@@ -24,9 +26,12 @@ from feaslens.llm.common import pick, pieces, utf8, word_hashes
 #: Bound of the fit: labelled rows of each class, picked by hash.
 SAMPLE_ROWS = 6000
 LEAST_ROWS = 3
+#: Chi-square (one degree of freedom) from which a term is kept; share of the toxic texts from which one is kept anyway.
+LEAST_ASSOCIATION = 15.0
+COMMON_SHARE = 0.05
 STEM = 5
 FACTORS = 4
-EPOCHS = 12
+EPOCHS = 20
 BATCH = 128
 RATE = 0.1
 DECAY = 2e-4
@@ -46,14 +51,17 @@ class Machine:
     factors: np.ndarray
     bias: float
 
-    def scores(self, rows: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    def logits(self, rows: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
         """Of ``n`` texts, from pairs of a term's row and the text it is in."""
         linear = np.bincount(docs, self.weights[rows], n)
         pairs = np.zeros(n)
         for f in range(self.factors.shape[1]):
             v = self.factors[rows, f]
             pairs += np.bincount(docs, v, n) ** 2 - np.bincount(docs, v * v, n)
-        return 1.0 / (1.0 + np.exp(-np.clip(self.bias + linear + 0.5 * pairs, -30, 30)))
+        return self.bias + linear + 0.5 * pairs
+
+    def scores(self, rows: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.logits(rows, docs, n), -30, 30)))
 
 
 def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +80,30 @@ def distinct_terms(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def kept_terms(examples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms in order that the machine gets weights for."""
+    of_class = [np.unique(np.concatenate([e for e, y in zip(examples, labels) if y == c] or [np.empty(0, np.uint32)]), return_counts=True) for c in (0, 1)]
+    terms = np.union1d(of_class[0][0], of_class[1][0])
+    counts = np.zeros((2, len(terms)))
+    for c, (own, n) in enumerate(of_class):
+        counts[c, np.searchsorted(terms, own)] = n
+    n0, n1 = float((labels == 0).sum()), float((labels == 1).sum())
+    b, a = counts
+    whole, n = a + b, n0 + n1
+    square = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(n0 * n1 * whole * (n - whole), 1.0)
+    return terms[(whole >= LEAST_ROWS) & ((square >= LEAST_ASSOCIATION) | (a >= np.maximum(COMMON_SHARE * n1, LEAST_ROWS)))]
+
+
 def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Machine:
     """Logistic loss, adaptive steps. ``weights`` give back the share of the classes that the sample has changed."""
-    seen, counts = np.unique(np.concatenate(examples) if examples else np.empty(0, np.uint32), return_counts=True)
-    terms = seen[counts >= LEAST_ROWS]
-    w, v = np.zeros(len(terms)), np.random.default_rng(seed).normal(0.0, 0.01, (len(terms), FACTORS))
+    random = np.random.default_rng(seed)
+    aside = random.random(len(labels)) < 0.2
+    both = lambda m: m.any() and labels[m].min() != labels[m].max()
+    if not both(aside) or not both(~aside):
+        aside[:] = False
+    own = np.flatnonzero(~aside)
+    terms = kept_terms([examples[i] for i in own], labels[own])
+    w, v = np.zeros(len(terms)), random.normal(0.0, 0.01, (len(terms), FACTORS))
     if not len(labels) or labels.min() == labels.max() or not len(terms):
         return Machine(terms, w, np.zeros_like(v), 30.0 if len(labels) and labels.min() == 1 else -30.0)
     rows = []
@@ -86,19 +113,21 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, see
     rate = float((weights * labels).sum() / weights.sum())
     bias, bias_sum = float(np.log(rate / (1 - rate))), 1e-8
     w_sum, v_sum = np.full(len(terms), 1e-8), np.full(v.shape, 1e-8)
-    weights, random = weights / weights.mean(), np.random.default_rng(seed + 1)
+    weights = weights / weights.mean()
+    best: tuple[float, Machine] | None = None
+    test = np.flatnonzero(aside) if aside.any() else own
+    test_rows, test_docs = np.concatenate([rows[i] for i in test]), np.repeat(np.arange(len(test)), [len(rows[i]) for i in test])
     for _ in range(EPOCHS):
-        order = random.permutation(len(labels))
+        order = random.permutation(own)
         for at in range(0, len(order), BATCH):
             part = order[at:at + BATCH]
-            own = np.concatenate([rows[i] for i in part])
+            used, back = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
             docs = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-            used, back = np.unique(own, return_inverse=True)
             vu = v[used]
             here = vu[back]
             sums = np.stack([np.bincount(docs, here[:, f], len(part)) for f in range(FACTORS)], axis=1)
             squares = np.bincount(docs, (here * here).sum(axis=1), len(part))
-            z = bias + np.bincount(docs, w[own], len(part)) + 0.5 * ((sums * sums).sum(axis=1) - squares)
+            z = bias + np.bincount(docs, w[used][back], len(part)) + 0.5 * ((sums * sums).sum(axis=1) - squares)
             slope = (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * weights[part] / len(part)
             g_bias = float(slope.sum())
             bias_sum += g_bias * g_bias
@@ -110,8 +139,26 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, see
             for f in range(FACTORS):
                 g = np.bincount(back, each * (sums[docs, f] - here[:, f]), len(used)) + DECAY * vu[:, f]
                 v_sum[used, f] += g * g
-                v[used, f] -= 0.2 * RATE * g / np.sqrt(v_sum[used, f])
-    return Machine(terms, w, v, bias)
+                v[used, f] -= 0.1 * RATE * g / np.sqrt(v_sum[used, f])
+        now = Machine(terms, w.copy(), v.copy(), bias)
+        p = np.clip(now.scores(test_rows, test_docs, len(test)), 1e-9, 1 - 1e-9)
+        loss = -float((weights[test] * np.where(labels[test] == 1, np.log(p), np.log(1 - p))).sum())
+        if best is None or loss < best[0]:
+            best = (loss, now)
+    machine = best[1]
+    if aside.any():
+        machine.bias -= _cut(machine.logits(test_rows, test_docs, len(test)), labels[test], weights[test])
+    return machine
+
+
+def _cut(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """Where to part the classes with the least weight on the wrong side: the middle of the best gap, the gap nearest to 0 among equals."""
+    order = np.argsort(z, kind="stable")
+    z, y, w = z[order], labels[order], weights[order]
+    wrong = np.concatenate([[0.0], np.cumsum(np.where(y == 1, w, 0.0))]) + np.concatenate([np.cumsum(np.where(y == 0, w, 0.0)[::-1])[::-1], [0.0]])
+    middles = np.concatenate([[z[0] - 1.0], (z[1:] + z[:-1]) / 2, [z[-1] + 1.0]])
+    least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    return float(middles[least[np.argmin(np.abs(middles[least]))]])
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text",
