@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, secrets, toxicity, warc
+from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, ngram_join, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ select query_id, rank::int as rank, vec_id, score from ranked where rank <= 10
 def block_neighbours(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+@query("op5_ngram_jaccard")
+def ngram_jaccard(spark, sf_dir):
+    return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))
