@@ -80,10 +80,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text", "lang", "source", "n_chars"), **options) -> DataFrame:
     """The mix as documents: a row for each pass over a document, the last one cut after the words that the budget still allows.
 
-    Documents of which nothing is taken go; ``n_chars`` is the new length. Ids must be unique.
+    Documents of which nothing is taken go; ``n_chars`` is the new length. Rows that share an id are taken alike, as the one with most.
     """
-    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    rows = pick(docs, **{c: c for c in columns}).join(taken, F.col("doc_id") == F.col("_id"))
+    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken")).filter("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), "size", "taken")
+    rows = pick(docs, **{c: c for c in columns}).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
     size = F.col("size")
     rows = rows.withColumn("_words", F.explode(F.transform(
         F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int")), lambda i: F.least(size, F.col("taken") - (i - 1) * size).cast("int"))))

@@ -51,7 +51,7 @@ def token_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
 
 def digest(tokens: np.ndarray) -> int:
     """64-bit name of a set."""
-    return int(mix64(np.array([np.bitwise_xor.reduce(mix64(tokens + np.uint64(77))) + np.sum(mix64(tokens)) + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
+    return int(mix64(np.array([np.bitwise_xor.reduce(mix64(tokens + np.uint64(77))) ], dtype=np.uint64) + mix64(tokens).sum(keepdims=True) * np.uint64(3) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
 def least_overlap(n, percent: int):
@@ -300,3 +300,9 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(named.select("sid", "root").join(least, "root").select("sid", "component_id"), "classes")
     return sets.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id names their class, with all their columns: of each group of near copies the one with the smallest id. Rows that share an id stay together."""
+    named = similarity_classes(docs, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(named, docs[id_col].eqNullSafe(named["_kept"]), "left_semi")

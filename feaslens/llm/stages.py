@@ -5,24 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe
+from feaslens.llm import bpe, ngram_join
 from feaslens.llm import mixing as mixes
 from feaslens.llm import secrets as scans
+from feaslens.llm import toxicity as scorer
 
 
 def toxicity(spark, docs, sf_dir):
-    raise NotImplementedError
+    """Learns from all labelled documents and rejects what scores as toxic."""
+    machine = scorer.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scorer.clean(docs, machine)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    raise NotImplementedError
+    """One document of each group of copies and near copies stays."""
+    return ngram_join.one_of_each(docs)
 
 
 def secrets(spark, docs, sf_dir):
+    """Found secrets are cut out of the texts."""
     return scans.redact(docs)
 
 
 def mixing(spark, docs, sf_dir):
+    """Documents as often, and as far, as the mix takes them."""
     return mixes.mixed_documents(docs)
 
 

@@ -190,22 +190,36 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: str | None = None, id_co
     return fit(examples, y, np.where(y == 1, share[1], share[0]))
 
 
+def _scores(model: Machine, texts: list[bytes]) -> np.ndarray:
+    parts = [np.empty(0)]
+    for a, b in pieces([len(t) for t in texts]):
+        terms, begins = terms_of(texts[a:b])
+        at = np.minimum(np.searchsorted(model.terms, terms), max(len(model.terms) - 1, 0))
+        known = model.terms[at] == terms if len(model.terms) else np.zeros(len(terms), bool)
+        docs = np.repeat(np.arange(b - a), np.diff(begins))[known]
+        once = np.unique(docs.astype(np.uint64) << np.uint64(32) | at[known].astype(np.uint64))
+        parts.append(model.scores((once & np.uint64(0xFFFFFFFF)).astype(np.int64), (once >> np.uint64(32)).astype(np.int64), b - a))
+    return np.concatenate(parts)
+
+
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
-            texts, parts = utf8(batch.column("text")), []
-            for a, b in pieces([len(t) for t in texts]):
-                terms, begins = terms_of(texts[a:b])
-                at = np.minimum(np.searchsorted(model.terms, terms), max(len(model.terms) - 1, 0))
-                known = model.terms[at] == terms if len(model.terms) else np.zeros(len(terms), bool)
-                docs_of = np.repeat(np.arange(b - a), np.diff(begins))[known]
-                once = np.unique(docs_of.astype(np.uint64) << np.uint64(32) | at[known].astype(np.uint64))
-                parts.append(model.scores((once & np.uint64(0xFFFFFFFF)).astype(np.int64), (once >> np.uint64(32)).astype(np.int64), b - a))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else np.empty(0))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(sent.value, utf8(batch.column("text"))))], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def clean(docs: DataFrame, machine: Machine, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below ``limit``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(sent.value, utf8(batch.column(text_col))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
