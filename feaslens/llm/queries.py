@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, ngram_join, secrets, toxicity, warc
+from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def block_neighbours(spark, sf_dir):
 @query("op5_ngram_jaccard")
 def ngram_jaccard(spark, sf_dir):
     return ngram_join.similarity_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op4_repeated_passages")
+def repeated_passages(spark, sf_dir):
+    return substrings.repeated_passages(read(spark, sf_dir, "documents"))
