@@ -150,3 +150,20 @@ def pieces(sizes: list[int], limit: int = BLOCK) -> Iterator[tuple[int, int]]:
 def utf8(column) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null is empty."""
     return [b"" if t is None else t for t in column.cast("binary").to_pylist()]
+
+
+SIEVE_BITS = 1 << 25
+
+
+def sieve(wanted: DataFrame, name: str) -> np.ndarray:
+    """A bit for each remainder that a 64-bit name in the column leaves, 4 MB whatever the data: tells which rows can't be wanted before they are shuffled."""
+    place = F.pmod(F.col(name), F.lit(SIEVE_BITS))
+    words = wanted.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, name: int) -> bool:
+    at = name % SIEVE_BITS
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
