@@ -128,17 +128,18 @@ class Model:
             grid[:len(codes), column] = codes
         starts = np.array(self.starts, dtype=np.int32)[:, None]
         states = np.repeat(starts, len(lanes), axis=1)
-        found = np.ones(states.shape, dtype=np.int32)
+        found = np.zeros(states.shape, dtype=np.int32)
         live = len(lanes)
         for step in range(len(grid)):
             while live and lengths[live - 1] <= step:
                 live -= 1
-            symbol = grid[step, :live].astype(np.int32)
-            after = self.table[states[:, :live] * self.symbols + symbol]
+            symbol, now = grid[step, :live].astype(np.int32), states[:, :live]
+            idle = now == starts  # between phrases: one begins here
+            after = self.table[now * self.symbols + symbol]
             ended = after < 0
+            found[:, :live] += idle | ended
             if ended.any():
-                # A new phrase begins with this symbol; one that the language never has is a phrase by itself.
-                found[:, :live] += ended
+                # The symbol begins the next phrase; one that the language never has is a phrase by itself.
                 again = self.table[starts * self.symbols + symbol]
                 after = np.where(ended, np.where(again < 0, starts, again), after)
             states[:, :live] = after
