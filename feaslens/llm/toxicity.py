@@ -27,13 +27,15 @@ from feaslens.llm.common import pick, pieces, utf8, word_hashes
 SAMPLE_ROWS = 6000
 LEAST_ROWS = 3
 #: Chi-square (one degree of freedom) from which a term is kept; share of the toxic texts from which one is kept anyway.
-LEAST_ASSOCIATION = 15.0
-COMMON_SHARE = 0.05
+LEAST_ASSOCIATION = 20.0
+COMMON_SHARE = 0.1
 STEM = 5
 FACTORS = 4
-EPOCHS = 20
+EPOCHS = 30
 BATCH = 128
-RATE = 0.1
+RATE = 0.5
+#: What the sums of squared slopes begin with: chance terms then don't leap on their first sight.
+FIRST = 0.1
 DECAY = 2e-4
 
 _BREAKS = np.ones(256, dtype=bool)
@@ -112,7 +114,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, see
         rows.append(at[terms[at] == e])
     rate = float((weights * labels).sum() / weights.sum())
     bias, bias_sum = float(np.log(rate / (1 - rate))), 1e-8
-    w_sum, v_sum = np.full(len(terms), 1e-8), np.full(v.shape, 1e-8)
+    w_sum, v_sum = np.full(len(terms), FIRST), np.full(v.shape, FIRST)
     weights = weights / weights.mean()
     best: tuple[float, Machine] | None = None
     test = np.flatnonzero(aside) if aside.any() else own
