@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feaslens.llm.common import BLOCK, mix64, partitions, pick, pieces, shingle_hashes, text_of, utf8, word_hashes
+from feaslens.llm import ngram_join
+from feaslens.llm.common import BLOCK, mix64, partitions, pick, pieces, shingle_hashes, stored, text_of, utf8, word_hashes
+from feaslens.llm.graph import components
 from feaslens.operators.ordered import bucket_of
 
 PERMUTATIONS = 128
@@ -152,3 +154,44 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield out(held[0] + [first[0]], held[1] + [first[1]], np.concatenate([held[2], first[2]]))
 
     return rows.select("doc_id", "text", "ghost").mapInArrow(run, schema)
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """(band, sid) of every different set of shingles, from rows with ``text``: the band's number and its places as one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for a, b in pieces([len(t) for t in texts], 4 * BLOCK):
+                sets = {ngram_join.digest(s): i for i, s in enumerate(ngram_join.token_sets(texts[a:b])) if len(s)}
+                places = signatures_of(texts[a:b])[list(sets.values())].reshape(len(sets), PERMUTATIONS // BAND, BAND).astype(np.uint64)
+                key = np.zeros(places.shape[:2], dtype=np.uint64)
+                for j in range(BAND):
+                    key = mix64(key + places[:, :, j] + np.uint64(1))
+                key = mix64(key + np.arange(PERMUTATIONS // BAND, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(list(sets), dtype=np.int64), PERMUTATIONS // BAND))], names=["band", "sid"])
+
+    return rows.select("text").mapInArrow(run, "band long, sid long").distinct()
+
+
+def near_copies(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): the smallest id reachable over pairs that share a band and whose Jaccard similarity, counted on the sets, is ``percent`` or more.
+
+    Each set is held against the first of its bands; what these links join is one cluster, and after that only pairs of different clusters in one band are left.
+    """
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    sets = stored(ngram_join.documents_sets(rows, percent), "sets")
+    banded = stored(bands(rows), "bands")
+    lead = banded.groupBy("band").agg(F.min("sid").alias("u"), F.count("*").alias("held")).filter("held > 1").drop("held")
+    shared = stored(banded.join(lead, "band"), "shared-bands")
+    texts = stored(ngram_join.texts_of(rows, shared.select("sid").distinct()), "texts")
+    links = stored(ngram_join.verified(shared.filter("u <> sid").select("u", F.col("sid").alias("v")).distinct(), texts, percent), "links")
+    clusters = stored(components(links), "clusters")
+    rooted = stored(shared.select("band", "sid").join(clusters.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
+    several = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    across = stored(rooted.join(several, "band", "left_semi"), "across")
+    a, b = across.alias("a"), across.alias("b")
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.sid") < F.col("b.sid"))).select(
+        F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct()
+    every = stored(ngram_join.verified(rest, texts, percent), "links").unionByName(clusters.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return ngram_join.classes_of(sets, components(every)).select("doc_id", "component_id")

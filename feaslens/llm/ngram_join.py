@@ -5,10 +5,11 @@ partner, so its first n - ceil(t n) + k tokens hold k tokens of any partner, and
 token that is rare, or all k are frequent: rare tokens are indexed one by one, frequent ones count only as combinations of k.
 
 1. Prefixes are extended by k = 8 + n/24. Tokens in more than ``RARE`` sets are the frequent class.
-2. Sets with k frequent tokens in their prefix are indexed again, among themselves, with all their tokens (k is then ceil(t n)).
-3. Links to the first set of each index entry are verified first; what they join is one cluster. After that only pairs between different clusters are left
-   to look at, so a group of near copies never becomes all its pairs. These pairs must share enough prefix tokens: rare ones counted, and no more frequent
-   ones than either has. Those that do are verified on the whole sets.
+2. Sets with k frequent tokens in their prefix are indexed again, among themselves, with all their tokens (k is then ceil(t n)). Of those that again hold
+   too many frequent ones, the prefix is taken in order of frequency, so their combinations are of the least frequent tokens.
+3. Links to the first set of each index entry are verified first, in several rounds with another first set each; what they join is one cluster. After that
+   only pairs between different clusters are left to look at, so a group of near copies doesn't become all its pairs. These pairs must share enough
+   prefix tokens: rare ones counted, and no more frequent ones than either has. Those that do are verified on the whole sets.
 
 Equal sets are one node throughout (their 64-bit digest), so copies are never compared. No candidate is dropped: counts below what step 1 proves are no link.
 
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feaslens.llm.common import BLOCK, mix64, partitions, pick, pieces, shingle_hashes, stored, utf8, word_hashes
+from feaslens.llm.common import BLOCK, mix64, partitions, passes, pick, pieces, shingle_hashes, sieve, stored, utf8, word_hashes
 from feaslens.llm.graph import components
 
 SHINGLE = 5
@@ -37,6 +38,8 @@ RARE = 16
 REMEMBERED = 100_000
 #: A token in more sets of one piece of text than RARE is frequent for certain; its rows are dealt over so many parts.
 PARTS = 64
+#: Rounds of links to a first set before the pairs between clusters are taken.
+ROUNDS = 4
 
 
 def token_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -175,11 +178,12 @@ def _index_rows(token, offsets, sid, n, frequent: bool) -> pa.RecordBatch:
 
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, text): a text for each set in ``wanted`` (sid)."""
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted, "sid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict = OrderedDict()
         for batch in batches:
-            sets = _fresh(utf8(batch.column("text")), seen)
+            sets = [s for s in _fresh(utf8(batch.column("text")), seen) if passes(bits.value, s[0])]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in sets], pa.int64()), pa.array([t for _, _, t in sets], pa.binary()).cast(pa.string())], names=["sid", "text"])
 
     named = rows.select("text").mapInArrow(run, "sid long, text string")
@@ -227,21 +231,22 @@ def near_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     second = stored(index(texts.join(again, "sid").select("text"), percent, True), "whole-index")
     members2 = second.filter("frequent").select(F.col("sids")[0].alias("sid"), F.col("ns")[0].alias("n"), "token")
     counts2 = stored(members2.groupBy("sid", "n").agg(F.count("*").alias("frequent")), "whole-counts")
-    # Sets that share nothing but frequent tokens with a partner.
-    plain = counts2.filter(F.col("frequent") >= least_column(smallest, percent)).select("sid")
-    frequent = stored(members2.join(plain, "sid"), "frequent-rows")
+    frequent = stored(_least_frequent(members2, counts2, percent), "frequent-rows")
 
     stars = []
     for part, whole in ((first, False), (second, True)):
         rare = part.filter("not frequent").select(F.col("sids")[0].alias("u"), F.col("ns")[0].alias("m"), F.explode(F.arrays_zip("sids", "ns")).alias("x")).select(
             "u", "m", F.col("x.sids").alias("v"), F.col("x.ns").alias("n")).filter("u <> v")
         stars.append(_enough(rare, percent, whole))
-    lead = frequent.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("first"))
-    stars.append(_enough(frequent.join(lead, "token").select(F.col("first.sid").alias("u"), F.col("first.n").alias("m"), F.col("sid").alias("v"), "n").filter("u <> v"), percent, True))
     known = counts.select("sid")
-    joined = stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct()
-    links = stored(verified(joined, texts, percent), "links")
-    clusters = stored(components(links), "clusters")
+    links, clusters = None, None
+    for turn in range(ROUNDS):
+        pairs = _starred(frequent, clusters, turn, percent)
+        if not turn:
+            pairs = pairs.unionByName(stars[0]).unionByName(stars[1])
+        found = verified(pairs.distinct(), texts, percent)
+        links = stored(found if links is None else found.unionByName(clusters.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")
+        clusters = stored(components(links), "clusters")
 
     # All other pairs lie between clusters.
     pairs = [_across(first, counts, clusters, known, percent, False), _across(second, counts2, clusters, known, percent, True), _combined(frequent, clusters, percent)]
@@ -250,8 +255,26 @@ def near_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return components(stored(more, "links").unionByName(clusters.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
-def least_column(n: Column, percent: int) -> Column:
-    return F.floor((n * percent + 99) / 100)
+def _least_frequent(members: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, token) of the frequent tokens in the extended prefix of each set, when tokens are ordered by frequency.
+
+    Tokens that aren't frequent come first, so a set with enough of them keeps none.
+    """
+    often = members.groupBy("token").agg(F.count("*").alias("often"))
+    room = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + _k(F.col("n"), percent, False) - (F.col("n") - F.col("frequent"))
+    some = counts.withColumn("room", room).filter("room > 0").select("sid", "room")
+    order = Window.partitionBy("sid").orderBy("often", "token")
+    ranked = members.join(some, "sid").join(often, "token").withColumn("place", F.row_number().over(order))
+    return ranked.filter("place <= room").select("sid", "n", "token")
+
+
+def _starred(frequent: DataFrame, clusters: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """(u, v): each set with the one that this turn's hash puts first among the holders of a frequent token, if they aren't in one cluster yet."""
+    rows = frequent.withColumn("root", F.col("sid")) if clusters is None else _clustered(frequent, clusters)
+    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("key"), "sid", "n", "root")).alias("first"))
+    pairs = rows.join(lead, "token").filter("root <> first.root")
+    pairs = pairs.select(F.least("sid", "first.sid").alias("u"), F.greatest("sid", "first.sid").alias("v"), F.least("n", "first.n").alias("m"), F.greatest("n", "first.n").alias("n"))
+    return _enough(pairs, percent, False)
 
 
 def _enough(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
@@ -280,21 +303,18 @@ def _across(part: DataFrame, counts: DataFrame, clusters: DataFrame, known: Data
 
 
 def _combined(frequent: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of different clusters that share a combination of ceil(t n) frequent tokens."""
+    """(u, v) of different clusters that share a combination of k of their least frequent tokens."""
     rows = stored(_clustered(frequent, clusters), "frequent-clusters")
     several = rows.groupBy("token", "root").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     rows = stored(rows.join(several, "token", "left_semi"), "frequent-across")
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & _long_enough(F.col("a.n"), F.col("b.n"), percent))
-    counted = pairs.groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.greatest("a.n", "b.n").alias("m")).agg(F.count("*").alias("c"))
-    return counted.filter(F.col("c") >= _k(F.col("m"), percent, True)).select("u", "v")
+    counted = pairs.groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.least("a.n", "b.n").alias("n"), F.greatest("a.n", "b.n").alias("m")).agg(F.count("*").alias("c"))
+    return counted.filter(F.col("c") >= F.least(_k(F.col("n"), percent, False), _k(F.col("m"), percent, True))).select("u", "v")
 
 
-def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the set's size and the smallest id reachable by links."""
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    sets = stored(documents_sets(rows, percent), "sets")
-    roots = near_sets(rows, percent)
+def classes_of(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) from (doc_id, n, sid) and the (node, root) of linked sets."""
     named = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -302,6 +322,14 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     return sets.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the set's size and the smallest id reachable by links."""
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    sets = stored(documents_sets(rows, percent), "sets")
+    roots = near_sets(rows, percent)
+    return classes_of(sets, roots)
+
+
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id names their class, with all their columns: of each group of near copies the one with the smallest id. Rows that share an id stay together."""
     named = similarity_classes(docs, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
