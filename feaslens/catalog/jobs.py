@@ -46,14 +46,14 @@ def io2b(spark, sf):
 
 
 @query("IO3_scenario_xml", """
-select o_orderkey as scenario, case when o_orderkey % 7 = 0 then 'failed' else 'ok' end as parse_status, case when o_orderkey % 7 != 0 then (o_orderkey % 4 + 1)::int end as lanelet_count, case when o_orderkey % 7 != 0 then (o_custkey % 3)::int end as dynamic_obstacle_count,
-  case when o_orderkey % 7 != 0 then 1 end as planning_problem_count, case when o_orderkey % 7 != 0 and o_custkey % 3 > 0 then (o_orderkey % 90)::int end as max_time_step, case when o_orderkey % 7 != 0 then case when o_custkey % 3 > 0 then 'car:' || (o_custkey % 3) else '' end end as obstacle_types from orders""")
+select o_orderkey as scenario, case when o_orderkey % 7 = 0 or o_orderkey % 11 = 0 then 'failed' else 'ok' end as parse_status, case when o_orderkey % 7 != 0 and o_orderkey % 11 != 0 then (o_orderkey % 4 + 1)::int end as lanelet_count, case when o_orderkey % 7 != 0 and o_orderkey % 11 != 0 then (o_custkey % 3)::int end as dynamic_obstacle_count,
+  case when o_orderkey % 7 != 0 and o_orderkey % 11 != 0 then 1 end as planning_problem_count, case when o_orderkey % 7 != 0 and o_orderkey % 11 != 0 and o_custkey % 3 > 0 then (o_orderkey % 90)::int end as max_time_step, case when o_orderkey % 7 != 0 and o_orderkey % 11 != 0 then case when o_custkey % 3 > 0 then 'car:' || (o_custkey % 3) else '' end end as obstacle_types from orders""")
 def io3(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     lane = F.array_join(F.transform(F.sequence(F.lit(1), (k % 4 + 1).cast("int")), lambda i: F.format_string('<lanelet id="%d"/>', i)), "")
     obst = F.when(c % 3 > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest((c % 3).cast("int"), F.lit(1))), lambda i: F.format_string(
         '<dynamicObstacle id="%d"><type>car</type><trajectory><state><time><exact>%d</exact></time></state></trajectory></dynamicObstacle>', i, k % 90)), "")).otherwise("")
-    xml = F.when(k % 7 == 0, F.lit("broken")).otherwise(F.concat(F.format_string('<commonRoad benchmarkID="S_%d">', k), lane, obst, F.lit('<planningProblem id="9"/></commonRoad>')))
+    xml = F.when(k % 7 == 0, F.lit("broken")).otherwise(F.concat(F.format_string('<commonRoad benchmarkID="S_%d">', k), lane, F.when(k % 11 == 0, F.lit('<lanelet id="0">')).otherwise(F.lit("")), obst, F.lit('<planningProblem id="9"/></commonRoad>')))
     docs = read(spark, sf, "orders").select(k.cast("string").alias("path"), xml.alias("text"))
     out = io.parse_scenario_xml(docs, "path", "text")
     return out.select(F.col("xml_path").cast("bigint").alias("scenario"), "parse_status", "lanelet_count", "dynamic_obstacle_count", "planning_problem_count", "max_time_step", "obstacle_types")

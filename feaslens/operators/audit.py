@@ -35,7 +35,10 @@ def merge_checked(left: DataFrame, right: DataFrame, key: str, validate: str = "
 
 
 def cardinality_audit(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
-    """Rows, distinct keys and duplicates per table, and the size of every inner join, from key counts (no join is materialised)."""
+    """Rows, distinct keys and duplicates per table, and the size of every inner join, from key counts (no join is materialised).
+
+    Sizes over 2^63 - 1 rows are null.
+    """
     counts = {n: t.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")) for n, t in tables.items()}
     parts = [c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys")).select(
         F.lit(n).alias("table"), F.lit("").alias("other"), "n_rows", "n_keys", (F.col("n_rows") - F.col("n_keys")).alias("n_duplicates")) for n, c in counts.items()]
@@ -43,7 +46,7 @@ def cardinality_audit(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
     for i, a in enumerate(names):
         for b in names[i + 1:]:
             j = counts[a].withColumnRenamed("n", "a").join(counts[b].withColumnRenamed("n", "b"), "k")
-            parts.append(j.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys")).select(
+            parts.append(j.agg(F.coalesce(F.sum(F.col("a").cast("decimal(19,0)") * F.col("b").cast("decimal(19,0)")), F.lit(0)).try_cast("bigint").alias("n_rows"), F.count("*").alias("n_keys")).select(
                 F.lit(a).alias("table"), F.lit(b).alias("other"), "n_rows", "n_keys", (F.col("n_rows") - F.col("n_keys")).alias("n_duplicates")))
     return _union(parts)
 
@@ -78,7 +81,7 @@ def imputation_stats(imputed: DataFrame, labels_df: DataFrame, label: str = "act
     joined = per.join(labels_df.select("sample_id", F.col(label).alias("label_id")), "sample_id")
     by = joined.groupBy("label_id").agg(F.count("*").alias("n_samples"), *[F.sum(c).alias(c) for c in ("total_future_slots", "invalid_future_slots", "imputed_future_slots")],
                                         F.avg("imputed_fraction").alias("mean_sample_imputed_fraction"))
-    by = by.join(ordered.quantiles(joined, "imputed_fraction", [0.5], ["label_id"], names=["median_sample_imputed_fraction"]), "label_id")
+    by = ordered.match(by, ordered.quantiles(joined, "imputed_fraction", [0.5], ["label_id"], names=["median_sample_imputed_fraction"]), ["label_id"])
     top = per.withColumn("_p95", ordered.quantile_row(per, ["imputed_fraction"], [0.95]).select("imputed_fraction__q0").scalar())
     return per, by, top.filter(F.col("imputed_fraction") >= F.col("_p95")).drop("_p95")
 
@@ -282,7 +285,7 @@ def negative_delta_audit(df: DataFrame, comparisons: Sequence[tuple[str, str]],
     top = subs.withColumn("_r", rank).filter("_r <= 5").groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_sub", "c"))), lambda v: F.concat_ws(":", v["_sub"], v["c"].cast("string"))), ";").alias("top_failure_subtypes"))
     delta = F.col("enhanced_AUPRC") - F.col("baseline_AUPRC")
-    out = deltas.withColumn("AUPRC_delta", delta).join(comp, keys).join(top, keys, "left")
+    out = ordered.match(ordered.match(deltas.withColumn("AUPRC_delta", delta), comp, keys), top, keys, "left")
     return out.withColumns({"negative_delta": F.coalesce(F.col("AUPRC_delta") < 0, F.lit(False)), "clearly_negative_delta": F.coalesce(F.col("AUPRC_delta") < CLEAR_LOSS, F.lit(False))})
 
 

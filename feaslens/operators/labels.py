@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feaslens.functions.columns import as_col, count_string, num, round6
+from feaslens.operators import ordered
 
 # Label names and the thresholds of the label rules.
 ACTIONABILITY_NAMES = {0: "high_actionability", 1: "reduced_actionability", 2: "critical_actionability", 3: "infeasible_or_unavoidable"}
@@ -90,8 +91,11 @@ def feasibility_summary(results: DataFrame, keys: Sequence[str], horizon: Column
         until(easy).alias("time_to_no_comfort_s"), until(F.lit(True)).alias("time_to_no_emergency_s"))
 
 
-def planner_labels(candidates: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """One planner label per sample from its candidate rows; the cheapest feasible candidate wins, then the lower id."""
+def planner_labels(candidates: DataFrame, keys: Sequence[str] = ("sample_id",), samples: DataFrame | None = None) -> DataFrame:
+    """One planner label per sample from its candidate rows; the cheapest feasible candidate wins, then the lower id.
+
+    With ``samples`` (the keys of all samples) one without candidates fails for the reason ``no_candidate_generated``.
+    """
     any_ = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)))
     ok = F.col("feasible")
     best = F.min(F.when(ok, F.struct(F.col("action_cost"), F.col("candidate_id"), F.col("longitudinal_profile"), F.col("lateral_profile"))))
@@ -99,21 +103,26 @@ def planner_labels(candidates: DataFrame, keys: Sequence[str] = ("sample_id",))
         F.count("*").alias("candidate_count"), F.sum(ok.cast("bigint")).alias("feasible_candidate_count"), best.alias("_best"),
         any_("collision_flag").alias("_c"), any_("lane_buffer_flag").alias("_l"), any_("progress_flag").alias("_p"), any_("kinematic_flag").alias("_k"),
         F.min("first_failure_time_s").alias("first_failure_time_s_min"), F.sum("initial_overlap_count").alias("initial_overlap_count"))
+    if samples is not None:
+        agg = ordered.match(samples.select(*keys).distinct(), agg, keys, "left").fillna(0, ["candidate_count", "feasible_candidate_count", "initial_overlap_count"])
     c, l, p, k = (F.col(x) for x in ("_c", "_l", "_p", "_k"))
-    reason = F.when(F.col("feasible_candidate_count") > 0, "no_failure").when(c & l, "collision_and_lane").when(
+    reason = F.when(F.col("feasible_candidate_count") > 0, "no_failure").when(F.col("candidate_count") == 0, "no_candidate_generated").when(c & l, "collision_and_lane").when(
         c & ~p & ~k, "collision_only").when(l & ~c & ~p & ~k, "lane_buffer_only").when(p & ~c & ~l & ~k, "progress_only").when(
         k & ~c & ~l & ~p, "kinematic_only").otherwise("unknown")
     success = (F.col("feasible_candidate_count") > 0).cast("int")
     return agg.select(
         *keys, success.alias("planner_success"), (1 - success).alias("planner_failure"), "feasible_candidate_count", "candidate_count",
-        (F.col("feasible_candidate_count") / F.col("candidate_count")).alias("feasible_candidate_ratio"),
+        (F.col("feasible_candidate_count") / F.greatest("candidate_count", F.lit(1))).alias("feasible_candidate_ratio"),
         F.col("_best.action_cost").alias("best_candidate_cost"),
         F.concat_ws("+", "_best.longitudinal_profile", "_best.lateral_profile").alias("best_action_family"),
         reason.alias("planner_failure_reason"), "first_failure_time_s_min", "initial_overlap_count")
 
 
-def candidate_flags(candidates: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Flags per sample from candidate rows, with the counted failure reasons."""
+def candidate_flags(candidates: DataFrame, key: str = "sample_id", samples: DataFrame | None = None) -> DataFrame:
+    """Flags per sample from candidate rows, with the counted failure reasons.
+
+    With ``samples`` (the keys of all samples) one without candidates has ``no_candidate_flag`` 1 and all other flags 0.
+    """
     any_ = lambda cond: F.max(F.coalesce(cond, F.lit(False)).cast("int"))
     reason = F.lower(F.coalesce(F.col("failure_reason"), F.lit("")))
     work = candidates.withColumn("_reason", reason)
@@ -123,11 +132,23 @@ def candidate_flags(candidates: DataFrame, key: str = "sample_id") -> DataFrame:
         (ok > 0).cast("int").alias("candidate_any_feasible"), any_(F.col("collision_flag")).alias("collision_flag"),
         any_(F.col("lane_buffer_flag")).alias("road_boundary_flag"), any_(F.col("lane_buffer_flag")).alias("lane_buffer_flag"),
         any_(F.col("progress_flag")).alias("progress_flag"), any_(F.col("kinematic_flag")).alias("kinematic_flag"),
-        F.lit(0).alias("no_candidate_flag"), any_(F.col("_reason").contains("no_route")).alias("no_route_flag"),
+        any_(F.col("_reason").contains("no_route")).alias("no_route_flag"),
         any_(F.col("_reason").contains("initial_invalid")).alias("initial_invalid_flag"),
         any_(F.col("_reason").rlike("parser_error|parse_error")).alias("parser_error_flag"))
     reasons = count_string(work.filter("_reason != ''"), [key], "_reason", "candidate_failure_reasons")
-    return flags.join(reasons, key, "left").fillna("", ["candidate_failure_reasons"])
+    out = ordered.match(flags, reasons, [key], "left")
+    if samples is not None:
+        out = ordered.match(samples.select(key).distinct(), out, [key], "left")
+    out = out.withColumn("no_candidate_flag", F.col("candidate_rows").isNull().cast("int"))
+    return out.fillna(0, [c for c in out.columns if c not in (key, "candidate_failure_reasons")]).fillna("", ["candidate_failure_reasons"])
+
+
+def derived_reason(df: DataFrame) -> DataFrame:
+    """Puts the subtype's own reason in ``planner_failure_reason`` and keeps the planner's in ``raw_planner_failure_reason``."""
+    kind, own = F.substring_index("failure_subtype", ":", 1), F.expr("substring(failure_subtype, locate(':', failure_subtype) + 1)")
+    reason = F.when(kind.isin("known_failure", "unknown_failure") & F.col("failure_subtype").contains(":"), own).when(
+        kind == "no_failure", "no_failure").otherwise(F.col("planner_failure_reason"))
+    return df.withColumns({"raw_planner_failure_reason": F.col("planner_failure_reason"), "planner_failure_reason": reason})
 
 
 def _flag(df: DataFrame, name: str) -> Column:

@@ -38,12 +38,12 @@ def event_onset(df: DataFrame, key: str, order: Sequence[str], t: str, y: str, m
 def lead_time(df: DataFrame, onsets: DataFrame, thresholds: DataFrame, key: str, t: str, score: str) -> DataFrame:
     """Per key and threshold row: first alert before the onset, lead, missed event, false alert of a non-event key.
 
-    ``thresholds`` is a small table (score name, target rate, ``threshold``); its size is checked by the caller's plan: it is
-    expanded against per-key aggregates only through conditional minima.
+    ``thresholds`` is a table (score name, target rate, ``threshold``) with a row for each rate asked for; it meets the rows as one list.
     """
     rows = df.select(key, num(t).alias("_t"), num(score).alias("_s")).join(onsets, key)
     names = [c for c in thresholds.columns if c != "threshold"]
-    crossed = rows.crossJoin(ordered.assert_small(thresholds, 1000, "thresholds"))
+    listed = thresholds.agg(F.collect_list(F.struct(*names, "threshold")).alias("_list"))  # one row
+    crossed = rows.crossJoin(F.broadcast(listed)).withColumn("_x", F.explode("_list")).select(*rows.columns, "_x.*")
     alert = F.col("_s") >= F.col("threshold")
     before = F.col("_t") < F.col("event_time_s")
     keys = [key, *names, "threshold", "has_valid_onset", "event_time_s", "pre_event_duration_s", "has_any_event"]
@@ -68,7 +68,7 @@ def lead_time_summary(leads: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg(F.when(ok, F.col("missed_event").cast("double"))).alias("missed_event_rate"),
         F.avg(F.when(non, F.col("false_alert_non_event").cast("double"))).alias("false_alert_non_event_rate"))
     med = ordered.quantiles(leads.filter(ok), "lead_time_s", [0.5], by, names=["median_lead_time_s"])
-    return base.join(med, by, "left")
+    return ordered.match(base, med, by, "left")
 
 
 def align_to_event(df: DataFrame, onsets: DataFrame, key: str, t: str, keep: Sequence[str], start=-5.0, stop=1.0) -> DataFrame:
@@ -85,7 +85,7 @@ def add_alerts(df: DataFrame, y: str, scores: Sequence[str], levels: Sequence[fl
     for s in scores:
         thr = ordered.quantiles(metrics.scored(df.filter(num(y) == 0), y, s, by), "score", [1 - v for v in levels], by,
                                 names=[f"_thr{i}" for i in range(len(levels))])
-        out = out.join(thr, by) if by else out.crossJoin(F.broadcast(thr))  # one row
+        out = ordered.match(out, thr, by) if by else out.crossJoin(F.broadcast(thr))  # one row
         for i, v in enumerate(levels):
             out = out.withColumn(f"{s}_alert_at_{int(round(v * 100))}fpr", num(s) >= F.col(f"_thr{i}")).drop(f"_thr{i}")
     return out

@@ -187,7 +187,7 @@ def evaluate_pairs(pairs: DataFrame, df: DataFrame, id_col: str, scores: Sequenc
     table = metrics.curve(members, "y", "score", keys).groupBy(*keys).agg(
         metrics.auroc_expr().alias("pair_auroc"), metrics.auprc_expr().alias("pair_auprc"))
     uniques = long.groupBy(*keys).agg(F.countDistinct("neg_id").alias("unique_negatives"))
-    return rates.join(table, keys).join(uniques, keys)
+    return ordered.match(ordered.match(rates, table, keys), uniques, keys)
 
 
 def balance(pairs: DataFrame, df: DataFrame, id_col: str, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -199,4 +199,4 @@ def balance(pairs: DataFrame, df: DataFrame, id_col: str, cols: Sequence[str], b
     long = wide.select(*by, both).select(*by, "_s.*").withColumn("gap", F.abs(F.col("p") - F.col("n")))
     keys = [*by, "variable"]
     means = long.groupBy(*keys).agg(F.avg("p").alias("pos_mean"), F.avg("n").alias("neg_mean"), F.avg("gap").alias("mean_abs_diff"))
-    return means.join(ordered.quantiles(long, "gap", [0.95], keys, names=["p95_abs_diff"]), keys)
+    return ordered.match(means, ordered.quantiles(long, "gap", [0.95], keys, names=["p95_abs_diff"]), keys)

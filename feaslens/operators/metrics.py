@@ -47,7 +47,7 @@ def _both() -> Column:
 
 
 def auprc_expr() -> Column:
-    part = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    part = F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     return F.when(_both(), F.sum(part) / F.max("tot_pos"))
 
 
@@ -116,7 +116,7 @@ def _quantile_recall(table: DataFrame, levels: Sequence[float], by: Sequence[str
     thresholds = table.groupBy(*by).agg(
         *[_negative_quantile(level).alias(f"threshold_at_{n}_fpr") for level, n in zip(levels, names)]
     )
-    joined = table.join(thresholds, list(by)) if by else table.crossJoin(thresholds)
+    joined = ordered.match(table, thresholds, by)
     aggs = []
     for n in names:
         above = F.col("score") >= F.col(f"threshold_at_{n}_fpr")
@@ -209,7 +209,7 @@ def best_f1_grid(df, y, score, by=(), points: int = 101, buckets=None) -> DataFr
     table = curve(df, y, score, by, buckets)
     # Counts at a threshold are differences of a histogram over the grid, not a rows-by-thresholds product.
     bounds = thresholds.groupBy(*by).agg(F.sort_array(F.collect_list("threshold")).alias("grid"))
-    slotted = (table.join(bounds, by) if by else table.crossJoin(bounds)).withColumn(
+    slotted = ordered.match(table, bounds, by).withColumn(
         "slot", F.size(F.filter("grid", lambda t: t <= F.col("score"))))
     hist = slotted.filter("slot > 0").groupBy(*by, "slot").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("tot_pos").alias("tot_pos"),
@@ -292,7 +292,7 @@ def risk_coverage(df, y, score, n: int = 101, by=()) -> DataFrame:
     hist = scored(df, y, score, by).groupBy(*by, slot.alias("slot")).agg(
         F.count("*").alias("n"), F.sum("y").alias("pos"))
     frame = hist.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    full = frame.join(hist, [*by, "slot"], "left").fillna(0, ["n", "pos"])
+    full = ordered.match(frame, hist, [*by, "slot"], "left").fillna(0, ["n", "pos"])
     up = Window.partitionBy(*by).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     counted = full.select(
@@ -321,23 +321,25 @@ def rank_correlation(df, x: str, y: str, by=(), buckets=None) -> DataFrame:
     cells = pairs.groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
     rx = ordered.average_rank(pairs, by, "x", buckets).select(*by, "x", F.col("rank").alias("rx"), F.col("n").alias("nx"))
     ry = ordered.average_rank(pairs, by, "y", buckets).select(*by, "y", F.col("rank").alias("ry"), F.col("n").alias("ny"))
-    ranked = cells.join(rx, [*by, "x"]).join(ry, [*by, "y"])
+    ranked = ordered.match(ordered.match(cells, rx, [*by, "x"]), ry, [*by, "y"])
     moments = ranked.groupBy(*by).agg(
         F.sum("n").alias("n"),
-        *weighted_moments("rx", "ry", "n", "s"), *weighted_moments("x", "y", "n", "p"),
+        *weighted_moments("rx", "ry", "n", "s"),
     )
+    # The built-in keeps centred moments, which hold their digits where the mean is far from 0.
+    plain = pairs.groupBy(*by).agg(F.corr("x", "y").alias("pearson"))
     tau = kendall_counts(cells, by, buckets)
-    ties = lambda table, c: table.groupBy(*by).agg(F.sum(F.col(c) * (F.col(c) - 1) / 2.0).alias(f"t_{c}"))
-    on = lambda a, b: a.join(b, by) if by else a.crossJoin(b)
-    out = on(on(on(moments, tau), ties(rx, "nx")), ties(ry, "ny"))
-    n0 = F.col("n") * (F.col("n") - 1) / 2.0
+    ties = lambda table, c: table.groupBy(*by).agg(F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2.0).alias(f"t_{c}"))
+    on = lambda a, b: ordered.match(a, b, by)
+    out = on(on(on(on(moments, plain), tau), ties(rx, "nx")), ties(ry, "ny"))
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2.0
     dx, dy = n0 - F.col("t_nx"), n0 - F.col("t_ny")
     enough = F.col("n") >= 3
     constant = (dx <= 0) | (dy <= 0)
     ok = enough & ~constant
     return out.select(
         *by, "n",
-        F.when(ok, weighted_corr("p")).alias("pearson"),
+        F.when(ok, F.col("pearson")).alias("pearson"),
         F.when(ok, weighted_corr("s")).alias("spearman"),
         F.when(ok, F.col("s_net") / F.sqrt(dx * dy)).alias("kendall_tau_b"),
         F.when(~enough, F.lit("fewer than 3 rows")).when(constant, F.lit("constant input")).otherwise(F.lit("")).alias("note"),
@@ -368,15 +370,17 @@ def kendall_counts(cells: DataFrame, by: Sequence[str], buckets=None) -> DataFra
     place = ordered.running(ordered.with_bucket(marked, "y", buckets), by, ["y"], ["one"]).select(
         *by, "y", (F.col("cum_one") - 1).alias("at"), F.greatest(F.ceil(F.log2(F.col("tot_one"))), F.lit(1)).cast("int").alias("digits"))
     digit = F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("digit")
-    spread = cells.join(place, [*by, "y"]).select(*by, "x", "n", "at", digit)
+    spread = ordered.match(cells, place, [*by, "y"]).select(*by, "x", "n", "at", digit)
     shifted = F.call_function("shiftright", F.col("at"), F.col("digit"))
     parts = spread.select(*by, "x", "digit", F.floor(shifted / 2).alias("head"),
                           F.when(shifted % 2 == 0, F.col("n")).otherwise(0).alias("n0"),
                           F.when(shifted % 2 == 1, F.col("n")).otherwise(0).alias("n1"))
     counts = parts.groupBy(*by, "digit", "head", "x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     run = ordered.running(ordered.with_bucket(counts, "x", buckets, source=cells), [*by, "digit", "head"], ["x"], ["n0", "n1"])
-    net = F.col("n1") * (F.col("cum_n0") - F.col("n0")) - F.col("n0") * (F.col("cum_n1") - F.col("n1"))
-    return run.groupBy(*by).agg(F.sum(net).alias("s_net"))
+    # Products of counts outgrow 64 bits; whole numbers stay exact in 38 digits.
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    net = wide("n1") * (wide("cum_n0") - wide("n0")) - wide("n0") * (wide("cum_n1") - wide("n1"))
+    return run.groupBy(*by).agg(F.sum(net).cast("double").alias("s_net"))
 
 
 def multiclass_metrics(df, y: str, pred: str, by=(), levels: Sequence[int] = (0, 1, 2, 3), score: str | None = None,
@@ -407,7 +411,7 @@ def multiclass_metrics(df, y: str, pred: str, by=(), levels: Sequence[int] = (0,
     if score is not None:
         top = df.withColumn("_top", (num(y) == levels[-1]).cast("int"))
         auc = auroc(top, "_top", score, by, buckets).withColumnRenamed("auroc", "emergency_auc")
-        out = out.join(auc, by, "left") if by else out.crossJoin(auc)
+        out = ordered.match(out, auc, by, "left")
     return out
 
 
@@ -458,7 +462,7 @@ def label_distribution(df, col: str, levels: Sequence[int] = (0, 1, 2, 3), by=()
     lv = F.array(*[F.lit(int(v)) for v in levels])
     frame = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
     grid = frame.select(*by, F.explode(lv).alias("label"))
-    full = grid.join(counts, [*by, "label"], "left").fillna(0, ["n"])
+    full = ordered.match(grid, counts, [*by, "label"], "left").fillna(0, ["n"])
     total = F.sum("n").over(Window.partitionBy(*by))
     return full.select(*by, "label", "n", (F.col("n") / F.nullif(total, F.lit(0))).alias("fraction"))
 
@@ -473,7 +477,7 @@ def describe(df, cols: Sequence[str], by=(), sample_std: bool = False, buckets=N
         F.count("*").alias("count"), F.avg("value").alias("mean"), std.alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     quart = ordered.quantiles(long, "value", [0.25, 0.5, 0.75], [*by, "column"], buckets, ["p25", "p50", "p75"])
-    return basic.join(quart, [*by, "column"])
+    return ordered.match(basic, quart, [*by, "column"])
 
 
 def label_summary(df, label: str, binary: Sequence[str], numeric: Sequence[str], other_label: str, buckets=None) -> DataFrame:

@@ -13,11 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 4096
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the named columns, null meeting null; without keys the right side has to be one row. The keys come from the left side."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(right)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def default_buckets(spark: SparkSession) -> int:
-    return max(16, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def splitters(df: DataFrame, value: str, buckets: int) -> DataFrame:
@@ -64,7 +72,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
             bucket: str = "_b") -> DataFrame:
     """Inclusive running sums ``cum_<c>`` and group totals ``tot_<c>`` in order of the columns ``order``.
 
-    The frame must carry ``bucket``, monotone in the order columns. Rows whose ``by`` is null are dropped.
+    The frame must carry ``bucket``, monotone in the order columns. A null in ``by`` is a group of its own.
     """
     by = list(by)
     totals = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
@@ -79,10 +87,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequen
     inner_order = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     inner = Window.partitionBy(*by, bucket).orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, 0)
     # Every row has its offset row; a left join keeps the optimizer from pushing a null test of the bucket below the aggregation.
-    rows = df
-    for b in by:
-        rows = rows.filter(F.col(b).isNotNull())
-    joined = rows.join(offsets, [*by, bucket], "left")
+    joined = match(df, offsets, [*by, bucket], "left")
     return joined.withColumns({f"cum_{c}": F.sum(c).over(inner) + F.col(f"_o_{c}") for c in sums}).drop(*[f"_o_{c}" for c in sums])
 
 
@@ -172,21 +177,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def assert_small(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """Checks a side that is about to be broadcast: at most ``limit`` rows, else an error that names it."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"{what} has more than {limit} rows")
-    return F.broadcast(df)
-
-
 def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, bucket: str) -> DataFrame:
     """Last non-null ``value`` at or before each row. ``bucket`` cuts long groups (monotone in the order columns)."""
     by = list(by)
     stamp = F.struct(*order)
     ends = df.filter(F.col(value).isNotNull()).groupBy(*by, bucket).agg(F.max_by(F.col(value), stamp).alias("_end"))
-    cells = df.select(*by, bucket).distinct().join(ends, [*by, bucket], "left")
+    cells = match(df.select(*by, bucket).distinct(), ends, [*by, bucket], "left")
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = cells.select(*by, bucket, F.last("_end", ignorenulls=True).over(before).alias("_in"))
     inner = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(carried, [*by, bucket]).withColumn(
+    return match(df, carried, [*by, bucket]).withColumn(
         out, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("_in"))).drop("_in")

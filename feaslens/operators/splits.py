@@ -62,7 +62,7 @@ def calibration_split(df: DataFrame, key: str, seed: int, fold: Column | int, fr
     u = unit_hash(F.lit("cal"), F.lit(str(seed)), fold_text, text, sep=":")
     marked = df.withColumn("_k", F.struct(u.alias("u"), text.alias("k")))
     floor = marked.groupBy(*by).agg(F.min("_k").alias("_lo"))
-    joined = marked.join(floor, list(by)) if by else marked.withColumn("_lo", floor.scalar())
+    joined = ordered.match(marked, floor, by) if by else marked.withColumn("_lo", floor.scalar())
     return joined.withColumn(out, (F.col("_k.u") < fraction) | (F.col("_k") == F.col("_lo"))).drop("_k", "_lo")
 
 
@@ -152,7 +152,10 @@ def quota_sample(df: DataFrame, keys: Sequence[str], bucket_col: str, n: int, se
     first = ranked.filter(F.col("_r") <= max(quotas.values(), default=0)).filter(F.col("_r") <= quota)
     first = first.withColumn("_phase", F.lit(0))
     chosen = first.select(*keys)
-    rest = work.filter(cap.isNull()).join(chosen, list(keys), "left_anti").withColumn("_phase", F.lit(1)).orderBy("_f", *keys).limit(n)
+    # A capped bucket may still give what its cap leaves above its quota, in fill order.
+    fill = F.row_number().over(Window.partitionBy(bucket_col).orderBy("_f", *keys))
+    rest = ordered.match(work, chosen, keys, "left_anti").withColumn("_k", fill).filter(F.col("_k") <= n).filter(
+        cap.isNull() | (F.col("_k") <= cap - F.least(quota, cap))).drop("_k").withColumn("_phase", F.lit(1)).orderBy("_f", *keys).limit(n)
     both = first.drop("_r").unionByName(rest)
     return both.orderBy("_phase", F.when(F.col("_phase") == 1, F.col("_f")).otherwise(F.col("_u")), *keys).limit(n).drop("_u", "_f", "_phase")
 

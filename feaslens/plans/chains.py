@@ -66,9 +66,10 @@ def planner_outcomes(scene: Scene, params: actions.PlannerParams, family: str =
     roll = actions.rollout_lattice(actions.ego_rows(scene.agents), actions.lattice_candidates(spark, family), params.horizon_s, params.dt)
     obs = actions.obstacle_pose(scene.agents, scene.states, "oracle_future", params.steps, params.dt, start=0)
     cand = checkpointed(actions.evaluate_candidates(roll, obs, scene.lanes, params))
-    lab = labels.planner_labels(cand).join(labels.candidate_flags(cand), "sample_id")
     ids = scene.agents.filter("is_ego").select("sample_id", "scenario_id")
-    return labels.finalize_labels(labels.failure_taxonomy(lab.join(ids, "sample_id")), horizon_s=params.horizon_s, lane_buffer_m=params.lane_buffer_m, family=family)
+    lab = labels.planner_labels(cand, samples=ids).join(labels.candidate_flags(cand, samples=ids), "sample_id")
+    outcome = labels.derived_reason(labels.failure_taxonomy(lab.join(ids, "sample_id")))
+    return labels.finalize_labels(outcome, horizon_s=params.horizon_s, lane_buffer_m=params.lane_buffer_m, family=family)
 
 
 def compare(features: DataFrame, outcomes: DataFrame, comparisons: Sequence[tuple[str, str]], n_boot: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:

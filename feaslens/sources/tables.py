@@ -83,14 +83,18 @@ def parse_scenario_xml(docs: DataFrame, path: str, text: str) -> DataFrame:
     """Counts and tags of scenario XML texts, with a status per document.
 
     XPath on local names works with and without namespaces. Dynamic and static obstacles are read from both file layouts (typed element or ``role``).
+    A text that the XML reader can't parse to its end, or that is no scenario, is ``failed``; XPath, which would stop the job, doesn't get to see it.
     """
-    doc = F.col(text)
+    raw = F.col(text)
+    record = F.from_xml(raw, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    whole = raw.rlike(r"(?s)^\s*<.*>\s*$") & raw.contains("commonRoad") & record.isNotNull() & record["_bad"].isNull()
+    docs = docs.withColumn("_doc", F.when(F.coalesce(whole, F.lit(False)), raw))
+    doc = F.col("_doc")
     local = lambda n: f"*[local-name()='{n}']"
     count = lambda expr: F.xpath_int(doc, F.lit(f"count({expr})"))
     dyn = f"//{local('dynamicObstacle')} | //{local('obstacle')}[{local('role')}='dynamic']"
     stat = f"//{local('staticObstacle')} | //{local('obstacle')}[{local('role')}='static']"
-    ok = F.coalesce(doc.rlike(r"(?s)^\s*<.*>\s*$") & doc.contains("commonRoad"), F.lit(False))
-    good = docs.withColumn("parse_status", F.when(ok, "ok").otherwise("failed"))
+    good = docs.withColumn("parse_status", F.when(doc.isNotNull(), "ok").otherwise("failed"))
     when = lambda c: F.when(F.col("parse_status") == "ok", c)
     types = F.xpath(doc, F.lit(f"//{local('dynamicObstacle')}/{local('type')}/text() | //{local('staticObstacle')}/{local('type')}/text() | //{local('obstacle')}/{local('type')}/text()"))
     steps = F.xpath(doc, F.lit(f"//{local('time')}/{local('exact')}/text()"))
