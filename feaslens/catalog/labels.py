@@ -103,6 +103,25 @@ def ac16(spark, sf):
     return taxonomy_rows(spark, sf).select("sample_id", "failure_taxonomy", "failure_subtype", "taxonomy_secondary_sensitivity")
 
 
+FEW_SQL = f"""{CAND_SQL.replace("from lineitem)", "from lineitem where l_orderkey % 5 != 0)")}, every as (select o_orderkey::varchar as sample_id from orders),
+ag as (select sample_id, count(*) as n, sum(feasible::int)::bigint as ok, bool_or(collision_flag) c, bool_or(lane_buffer_flag) l, bool_or(progress_flag) p, bool_or(kinematic_flag) k, bool_or(failure_reason like '%no_route%') nr from cd group by 1),
+al as (select every.sample_id, coalesce(n, 0) as n, coalesce(ok, 0) as ok, coalesce(c, false) c, coalesce(l, false) l, coalesce(p, false) p, coalesce(k, false) k, coalesce(nr, false) nr from every left join ag using (sample_id)),
+st as (select *, case when ok > 0 then 'no_failure:feasible_trajectory_exists' when nr then 'unknown_failure:no_route' when n = 0 then 'known_failure:no_valid_trajectory' when c and l and k then 'known_failure:collision_road_boundary_and_kinematic'
+  when c and l then 'known_failure:collision_and_road_boundary' when c and k then 'known_failure:collision_and_kinematic' when l and k then 'known_failure:road_boundary_and_kinematic' when c then 'known_failure:collision_only' when l then 'known_failure:road_boundary_only'
+  when k then 'known_failure:kinematic_only' else 'unknown_failure:all_invalid_unattributed' end as sub from al)"""
+
+
+@query("AC14_AC18_samples_without_candidates", f"""
+with {FEW_SQL} select sample_id, (ok > 0)::int as planner_success, n as candidate_count, (n = 0)::int as no_candidate_flag, case when ok > 0 then 'no_failure' else split_part(sub, ':', 2) end as planner_failure_reason,
+  case when ok > 0 then 'no_failure' when n = 0 then 'no_candidate_generated' when c and l then 'collision_and_lane' when c and not (l or p or k) then 'collision_only' when l and not (c or p or k) then 'lane_buffer_only'
+  when p and not (c or l or k) then 'progress_only' when k and not (c or l or p) then 'kinematic_only' else 'unknown' end as raw_planner_failure_reason, split_part(sub, ':', 1) as failure_taxonomy, sub as failure_subtype from st""")
+def without_candidates(spark, sf):
+    cand = candidate_rows(spark, sf).filter(F.col("sample_id").cast("bigint") % 5 != 0)
+    every = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"))
+    rows = lb.planner_labels(cand, samples=every).drop("initial_overlap_count").join(lb.candidate_flags(cand, samples=every), "sample_id")
+    return lb.derived_reason(lb.failure_taxonomy(rows)).select("sample_id", "planner_success", "candidate_count", "no_candidate_flag", "planner_failure_reason", "raw_planner_failure_reason", "failure_taxonomy", "failure_subtype")
+
+
 @query("AC17_legacy_taxonomy", """
 select page_id, case when page_id % 2 = 0 then 'no_failure' when regexp_matches(lower(url), 'unknown|parser|parse_error|runtime|software|numerical|missing|validator|timeout_without|/fr/') then 'unknown_failure' else 'known_failure' end as tax from pages""")
 def ac17(spark, sf):

@@ -150,6 +150,19 @@ def m10(spark, sf):
     return rounded(m.binary_metrics(scored_rows(spark, sf), "y", "score", ["l_linestatus", "l_linenumber"]))
 
 
+NULLED_SQL = f"{SCORED_SQL}, nulled as (select *, nullif(l_linestatus, 'F') as status, case when l_linenumber < 6 then l_linenumber end as line from scored)"
+
+
+def nulled_rows(spark, sf):
+    """Scored rows whose groups have nulls."""
+    return scored_rows(spark, sf).withColumns({"status": F.nullif("l_linestatus", F.lit("F")), "line": F.when(F.col("l_linenumber") < 6, F.col("l_linenumber"))})
+
+
+@query("M10_null_groups", f"with {NULLED_SQL}, {bundle_sql('status, line', 'nulled')} select status, line, {bundle_cols()} from bundle")
+def m10_null(spark, sf):
+    return rounded(m.binary_metrics(nulled_rows(spark, sf), "y", "score", ["status", "line"]))
+
+
 @query("M10_documents", f"""
 with d as (select source, quality as y, least(n_chars / 5000.0, 1.5) as score from documents join labels using (doc_id)),
 {bundle_sql('source', source='d')} select source, {bundle_cols()} from bundle""")
@@ -284,6 +297,14 @@ def m18(spark, sf):
     return rounded(m.describe(scored_rows(spark, sf), ["score", "qty", "disc"], ["l_linestatus"]), 4)
 
 
+@query("M18_null_groups", f"""
+with {NULLED_SQL}, u as (unpivot (select status, score, qty from nulled) on score, qty into name "column" value v)
+select status, "column", count(*) as "count", {r('avg(v)', 4)} as mean, {r('stddev_pop(v)', 4)} as std, {r('min(v)', 4)} as "min", {r('quantile_cont(v, 0.25)', 4)} as p25,
+       {r('median(v)', 4)} as p50, {r('quantile_cont(v, 0.75)', 4)} as p75, {r('max(v)', 4)} as "max" from u group by 1, 2""")
+def m18_null(spark, sf):
+    return rounded(m.describe(nulled_rows(spark, sf), ["score", "qty"], ["status"]), 4)
+
+
 @query("M19_label_summary", f"""
 with {ORDINAL_SQL}
 select 'label_count' as section, a::varchar as key, '' as metric, count(*)::double as value from ord group by 2

@@ -143,6 +143,19 @@ def sc9(spark, sf):
     return sp.quota_sample(read(spark, sf, "orders").select("o_orderkey", b.alias("bucket")), ["o_orderkey"], "bucket", 400, 42)
 
 
+@query("SC9_quota_fill", f"""
+with {QUOTA_SQL}, r1 as (select *, row_number() over (partition by bucket order by u, o_orderkey) as r from w),
+first as (select * from r1 where r <= case bucket when 'close_interaction' then 5 when 'medium_interaction' then 8 else 0 end),
+k1 as (select *, row_number() over (partition by bucket order by f, o_orderkey) as k from w where o_orderkey not in (select o_orderkey from first)),
+rest as (select * from k1 where k <= case bucket when 'close_interaction' then 15 when 'medium_interaction' then 2 else 1000000 end order by f, o_orderkey limit 87)
+select o_orderkey, bucket from first union all select o_orderkey, bucket from rest""")
+def sc9_fill(spark, sf):
+    p = F.col("o_orderpriority")
+    b = F.when(p == "1-URGENT", "close_interaction").when(p == "2-HIGH", "medium_interaction").when(p == "3-MEDIUM", "far_but_interactive").otherwise("random_fill")
+    rows = read(spark, sf, "orders").select("o_orderkey", b.alias("bucket"))
+    return sp.quota_sample(rows, ["o_orderkey"], "bucket", 100, 42, {"close_interaction": 5, "medium_interaction": 8}, {"close_interaction": 20, "medium_interaction": 10})
+
+
 @query("SC11_severity_sample", f"""
 with w as (select o_orderkey, case when o_orderstatus = 'P' then null else least(substr(o_orderpriority, 1, 1)::int - 1, 3) end as label, {hash_sql("'42|' || o_orderkey")} as u from orders),
 g as (select *, case when label >= 2 then 0 when label = 1 then 1 when label = 0 then 2 else 3 end as g from w),

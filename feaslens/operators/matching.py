@@ -1,8 +1,9 @@
 """Matched comparisons: nearest neighbour, caliper (range) and exact-bin matching, and their evaluation.
 
-Nearest partners are looked for in grid cells that start narrow and widen. A partner found within the cell width is the
+With one covariate the nearest partner is the next smaller or the next larger one: two running passes over sorted buckets, no pairs.
+With more, nearest partners are looked for in grid cells that start narrow and widen. A partner found within the cell width is the
 nearest one, because anything outside the neighbouring cells is farther in at least one covariate; only rows without such a
-partner go on to wider cells. Equal covariate vectors are matched once, so dense cells do not multiply into pairs.
+partner go on to wider cells. Equal covariate vectors are matched once; different vectors in one narrow cell do meet in pairs.
 """
 
 from __future__ import annotations
@@ -105,6 +106,8 @@ def caliper_match(df: DataFrame, id_col: str, y: str, setting: Setting, ttc: str
 
 def _match(work: DataFrame, dims: int, widths: Sequence[float], limit: float | None) -> DataFrame:
     """Matches distinct covariate vectors and hands the partner to every positive that has the vector."""
+    if dims == 1:
+        return _match_line(work, limit)
     positives = work.filter("y = 1")
     vectors = positives.select("v").distinct().withColumn("pid", F.col("v"))
     partners = work.filter("y = 0").groupBy("v").agg(F.min("id").alias("nid"))
@@ -113,6 +116,23 @@ def _match(work: DataFrame, dims: int, widths: Sequence[float], limit: float | N
     return joined.select(F.col("id").alias("pos_id"), F.col("best.nid").alias("neg_id"), F.sqrt("best.d2").alias("match_distance_z"))
 
 
+def _match_line(work: DataFrame, limit: float | None) -> DataFrame:
+    """The same for one covariate: each value's neighbours on both sides, carried over sorted buckets."""
+    positives, x = work.filter("y = 1"), F.col("v")[0]
+    partners = work.filter("y = 0").groupBy(x.alias("x")).agg(F.min("id").alias("nid"))
+    # At equal values partners come first, on either pass.
+    own = positives.select(x.alias("x")).distinct().select("x", F.lit(1).alias("kind"))
+    rows = partners.select("x", F.lit(0).alias("kind"), F.struct(F.col("x").alias("w"), "nid").alias("p")).unionByName(own, allowMissingColumns=True)
+    rows = ordered.carry_forward(ordered.with_bucket(rows, "x"), [], ["x", "kind"], "p", "below", "_b").drop("_b").withColumn("minus", -F.col("x"))
+    rows = ordered.carry_forward(ordered.with_bucket(rows, "minus"), [], ["minus", "kind"], "p", "above", "_b").filter("kind = 1")
+    gap = lambda p: p["w"] - F.col("x")
+    sides = F.filter(F.array("below", "above"), lambda p: p.isNotNull() & (F.lit(True) if limit is None else F.abs(gap(p)) <= limit))
+    best = F.array_min(F.transform(sides, lambda p: F.struct((gap(p) * gap(p)).alias("d2"), p["nid"].alias("nid"))))
+    found = rows.select(F.array("x").alias("v"), best.alias("best")).filter("best is not null")
+    joined = positives.join(found, "v")
+    return joined.select(F.col("id").alias("pos_id"), F.col("best.nid").alias("neg_id"), F.sqrt("best.d2").alias("match_distance_z"))
+
+
 def nn_match(df: DataFrame, id_col: str, y: str, cols: Sequence[str], first_width: float = 0.125) -> DataFrame:
     """Each positive with its nearest negative over z-scored covariates (population deviation, medians for nulls).
 
@@ -123,6 +143,8 @@ def nn_match(df: DataFrame, id_col: str, y: str, cols: Sequence[str], first_widt
     stats = clean.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
     z = F.array(*[(F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(F.lit(1.0)) for c in cols])
     work = checkpointed(clean.filter("y is not null").crossJoin(F.broadcast(stats)).select("id", "y", z.alias("v")))
+    if len(cols) == 1:
+        return _match_line(work, None)
     positives = work.filter("y = 1")
     partners = work.filter("y = 0").groupBy("v").agg(F.min("id").alias("nid"))
     if partners.isEmpty():
