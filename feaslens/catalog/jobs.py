@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feaslens.catalog import scenes as sc
 from feaslens.catalog.base import query, r, read, rounded
 from feaslens.catalog.scores import FEAT_SQL, features
 from feaslens.operators import models as ml
+from feaslens.session import shared_folder
 from feaslens.sources import tables as io
 from feaslens.streaming import alerts as al
 
 
-@query("IO1_read_table", "select o_orderkey, o_totalprice from orders where o_totalprice > 400000")
+@query("IO1_read_table", "select o_orderkey, o_totalprice from orders")
 def io1(spark, sf):
-    return io.read_table(spark, f"{sf}/orders.parquet").filter("o_totalprice > 400000").select("o_orderkey", "o_totalprice")
+    return io.read_table(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
+
+
+@query("IO8_predictions_round_trip", "select l_orderkey::varchar || '_' || l_linenumber as sample_id, l_orderkey as scenario_id, l_extendedprice as score, (l_returnflag = 'R')::int as y_true, l_linestatus as endpoint, 'set_' || l_returnflag as feature_set from lineitem")
+def io8(spark, sf):
+    li = read(spark, sf, "lineitem")
+    path = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
+    io.write_predictions(li.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("sample_id"), F.col("l_orderkey").alias("scenario_id"), F.col("l_extendedprice").alias("score"),
+                                   (F.col("l_returnflag") == "R").cast("int").alias("y_true"), F.col("l_linestatus").alias("endpoint"), F.concat(F.lit("set_"), "l_returnflag").alias("feature_set")), path)
+    return spark.read.parquet(path)
 
 
 @query("IO2_nested_json", """select event_id, (props::json->>'k')::int as k from events""")
@@ -140,17 +152,17 @@ def model_rows(spark, sf):
 
 @query("ML3_ML5_oof_forest")
 def ml5(spark, sf):
-    return ml.grouped_oof(model_rows(spark, sf), COLS, "label", "scenario_id", 3, 42, "rf", trees=10, max_depth=6)
+    return ml.grouped_oof(model_rows(spark, sf), COLS, "label", "scenario_id", 5, 42, "rf")
 
 
 @query("ML4_ML6_calibrated_oof")
 def ml6(spark, sf):
-    return ml.calibrated_oof(model_rows(spark, sf), COLS, "label", "scenario_id", 3, 42, "logreg")
+    return ml.calibrated_oof(model_rows(spark, sf), COLS, "label", "scenario_id", 5, 42, "logreg")
 
 
 @query("ML7_train_grid")
 def ml7(spark, sf):
-    return ml.train_grid(model_rows(spark, sf), {"near": COLS[:2], "all": COLS}, {"label": "label"}, ["logreg"], "scenario_id")
+    return ml.train_grid(model_rows(spark, sf), {"near": COLS[:2], "all": COLS}, {"label": "label"}, ["logreg", "rf"], "scenario_id")
 
 
 @query("ML8_permutation_importance")
