@@ -9,7 +9,8 @@ token that is rare, or all k are frequent: rare tokens are indexed one by one, f
    too many frequent ones, the prefix is taken in order of frequency, so their combinations are of the least frequent tokens.
 3. Links to the first set of each index entry are verified first, in several rounds with another first set each; what they join is one cluster. After that
    only pairs between different clusters are left to look at, so a group of near copies doesn't become all its pairs. These pairs must share enough
-   prefix tokens: rare ones counted, and no more frequent ones than either has. Those that do are verified on the whole sets.
+   prefix tokens: rare ones counted, and no more frequent ones than either has. Those that do are verified on the whole sets. Where only frequent tokens
+   are shared, sets that hang together over them are compared in blocks, cluster against cluster, by products of 0/1 matrices.
 
 Equal sets are one node throughout (their 64-bit digest), so copies are never compared. No candidate is dropped: counts below what step 1 proves are no link.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from feaslens.llm.common import BLOCK, mix64, partitions, passes, pick, pieces, shingle_hashes, sieve, stored, utf8, word_hashes
 from feaslens.llm.graph import components
+from feaslens.operators.ordered import match
 
 SHINGLE = 5
 #: Similarity in percent from which two sets are linked.
@@ -40,6 +42,9 @@ REMEMBERED = 100_000
 PARTS = 64
 #: Rounds of links to a first set before the pairs between clusters are taken.
 ROUNDS = 4
+#: Tokens of a block of sets, and columns of a matrix at a time.
+TILE = 1 << 16
+COLUMNS = 4096
 
 
 def token_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -249,9 +254,8 @@ def near_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         clusters = stored(components(links), "clusters")
 
     # All other pairs lie between clusters.
-    pairs = [_across(first, counts, clusters, known, percent, False), _across(second, counts2, clusters, known, percent, True), _combined(frequent, clusters, percent)]
-    rest = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
-    more = verified(rest, texts, percent)
+    pairs = [_across(first, counts, clusters, known, percent, False), _across(second, counts2, clusters, known, percent, True)]
+    more = verified(pairs[0].unionByName(pairs[1]).distinct(), texts, percent).unionByName(_tiled(frequent, clusters, texts, percent))
     return components(stored(more, "links").unionByName(clusters.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
@@ -302,15 +306,72 @@ def _across(part: DataFrame, counts: DataFrame, clusters: DataFrame, known: Data
     return counted.filter(F.col("c") + F.col("held") >= need).select("u", "v")
 
 
-def _combined(frequent: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of different clusters that share a combination of k of their least frequent tokens."""
-    rows = stored(_clustered(frequent, clusters), "frequent-clusters")
-    several = rows.groupBy("token", "root").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    rows = stored(rows.join(several, "token", "left_semi"), "frequent-across")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & _long_enough(F.col("a.n"), F.col("b.n"), percent))
-    counted = pairs.groupBy(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.least("a.n", "b.n").alias("n"), F.greatest("a.n", "b.n").alias("m")).agg(F.count("*").alias("c"))
-    return counted.filter(F.col("c") >= F.least(_k(F.col("n"), percent, False), _k(F.col("m"), percent, True))).select("u", "v")
+def _tiled(frequent: DataFrame, clusters: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between different clusters of sets that share frequent tokens of their prefixes.
+
+    Sets that hang together over such tokens are one family. A family is cut into blocks of about ``TILE`` tokens, a large cluster in blocks of its own; two
+    blocks are one tile, unless both are of the same cluster. A tile's overlaps are one product of 0/1 matrices over the tokens that both blocks have, so
+    what Spark moves is blocks, and what comes out is links only.
+    """
+    lead = frequent.groupBy("token").agg(F.min("sid").alias("first"))
+    edges = frequent.join(lead, "token").filter("sid <> first").select(F.col("sid").alias("u"), F.col("first").alias("v"))
+    families = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("family"))
+    sets = stored(_clustered(frequent.select("sid", "n").distinct().join(families, "sid"), clusters), "families")
+    several = sets.groupBy("family").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("family")
+    sets = sets.join(several, "family", "left_semi")
+    totals = sets.groupBy("family", "root").agg(F.sum("n").alias("tokens"))
+    homes = stored(totals.withColumn("home", F.when(F.col("tokens") * 2 >= TILE, F.col("root"))), "homes")
+    parts = homes.groupBy("family", "home").agg(F.ceil(F.sum("tokens") / TILE).alias("parts"))
+    placed = match(sets.join(homes.select("family", "root", "home"), ["family", "root"]), parts, ["family", "home"])
+    block = F.xxhash64("family", F.col("home").isNull(), F.coalesce("home", F.lit(0)), F.pmod(F.xxhash64("sid"), F.col("parts")))
+    placed = stored(placed.select("family", "home", "sid", "root", block.alias("block")), "placed")
+    heads = placed.select("family", "home", "block").distinct()
+    a, b = heads.alias("a"), heads.alias("b")
+    tiles = stored(a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.block") <= F.col("b.block")) & F.coalesce(F.col("a.home") != F.col("b.home"), F.lit(True))).select(
+        F.col("a.block").alias("left"), F.col("b.block").alias("right")), "tiles")
+    held = stored(placed.join(texts, "sid").groupBy("block").agg(F.collect_list(F.struct("sid", "root", "text")).alias("rows")), "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("left")[i].as_py() == batch.column("right")[i].as_py()
+                u, v = _tile(batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), same, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    full = tiles.join(held.select(F.col("block").alias("left"), F.col("rows").alias("a")), "left").join(held.select(F.col("block").alias("right"), F.col("rows").alias("b")), "right")
+    return full.select("left", "right", "a", "b").mapInArrow(run, "u long, v long").distinct()
+
+
+def _tile(left: list[dict], right: list[dict], same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of different clusters, one set from either side."""
+    a, b = (token_sets([r["text"].encode() for r in rows]) for rows in (left, right))
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    overlap = np.zeros((len(a), len(b)), dtype=np.float32)
+    places = [[_common(s, both) for s in side] for side in (a, b)]
+    for low in range(0, len(both), COLUMNS):
+        dense = []
+        for side in places:
+            m = np.zeros((len(side), min(COLUMNS, len(both) - low)), dtype=np.float32)
+            for i, p in enumerate(side):
+                m[i, p[np.searchsorted(p, low):np.searchsorted(p, low + COLUMNS)] - low] = 1.0
+            dense.append(m)
+        overlap += dense[0] @ dense[1].T
+    n, m = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+    shared = overlap.astype(np.int64)
+    roots = np.array([r["root"] for r in left])[:, None] != np.array([r["root"] for r in right])[None, :]
+    linked = roots & (100 * shared >= percent * (n[:, None] + m[None, :] - shared))
+    if same:
+        linked &= np.triu(np.ones(linked.shape, dtype=bool), 1)
+    i, j = np.nonzero(linked)
+    return np.array([r["sid"] for r in left], dtype=np.int64)[i], np.array([r["sid"] for r in right], dtype=np.int64)[j]
+
+
+def _common(tokens: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Places in ``both`` of the tokens that it holds; both are sorted."""
+    if not len(both):
+        return np.empty(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+    return at[both[at] == tokens]
 
 
 def classes_of(sets: DataFrame, roots: DataFrame) -> DataFrame:
