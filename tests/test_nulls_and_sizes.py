@@ -39,7 +39,7 @@ def test_correlation_keeps_its_digits_far_from_zero(spark):
     df = spark.createDataFrame([(1e9 + i, 1e9 + (i * 7) % 11) for i in range(11)], "x double, y double")
     near = spark.createDataFrame([(float(i), float((i * 7) % 11)) for i in range(11)], "x double, y double")
     far, plain = (metrics.rank_correlation(d, "x", "y").first()["pearson"] for d in (df, near))
-    assert abs(far - plain) < 1e-9
+    assert abs(far - plain) < 1e-6  # sums of plain squares, near 1e18 here, would keep no digit
 
 
 def test_a_broken_document_fails_alone(spark):
