@@ -7,7 +7,7 @@ token that is rare, or all k are frequent: rare tokens are indexed one by one, f
 1. Prefixes are extended by k = 8 + n/24. Tokens in more than ``RARE`` sets are the frequent class.
 2. Sets with k frequent tokens in their prefix are indexed again, among themselves, with all their tokens (k is then ceil(t n)). Of those that again hold
    too many frequent ones, the prefix is taken in order of frequency, so their combinations are of the least frequent tokens.
-3. Links to the first set of each index entry are verified first, in several rounds with another first set each; what they join is one cluster. After that
+3. Links to the first set of each index entry are verified first, for frequent tokens in several turns with another first set each; what they join is one cluster. After that
    only pairs between different clusters are left to look at, so a group of near copies doesn't become all its pairs. These pairs must share enough
    prefix tokens: rare ones counted, and no more frequent ones than either has. Those that do are verified on the whole sets. Where only frequent tokens
    are shared, sets that hang together over them are compared in blocks, cluster against cluster, by products of 0/1 matrices.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ RARE = 16
 REMEMBERED = 100_000
 #: A token in more sets of one piece of text than RARE is frequent for certain; its rows are dealt over so many parts.
 PARTS = 64
-#: Rounds of links to a first set before the pairs between clusters are taken.
-ROUNDS = 4
+#: Sets that each set is held against for a frequent token before the pairs between clusters are taken.
+TURNS = 4
 #: Tokens of a block of sets, and columns of a matrix at a time.
 TILE = 1 << 16
 COLUMNS = 4096
@@ -244,14 +245,8 @@ def near_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             "u", "m", F.col("x.sids").alias("v"), F.col("x.ns").alias("n")).filter("u <> v")
         stars.append(_enough(rare, percent, whole))
     known = counts.select("sid")
-    links, clusters = None, None
-    for turn in range(ROUNDS):
-        pairs = _starred(frequent, clusters, turn, percent)
-        if not turn:
-            pairs = pairs.unionByName(stars[0]).unionByName(stars[1])
-        found = verified(pairs.distinct(), texts, percent)
-        links = stored(found if links is None else found.unionByName(clusters.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")
-        clusters = stored(components(links), "clusters")
+    stars += [_starred(frequent, turn, percent) for turn in range(TURNS)]
+    clusters = stored(components(verified(reduce(DataFrame.unionByName, stars).distinct(), texts, percent)), "clusters")
 
     # All other pairs lie between clusters.
     pairs = [_across(first, counts, clusters, known, percent, False), _across(second, counts2, clusters, known, percent, True)]
@@ -272,11 +267,10 @@ def _least_frequent(members: DataFrame, counts: DataFrame, percent: int) -> Data
     return ranked.filter("place <= room").select("sid", "n", "token")
 
 
-def _starred(frequent: DataFrame, clusters: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """(u, v): each set with the one that this turn's hash puts first among the holders of a frequent token, if they aren't in one cluster yet."""
-    rows = frequent.withColumn("root", F.col("sid")) if clusters is None else _clustered(frequent, clusters)
-    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("key"), "sid", "n", "root")).alias("first"))
-    pairs = rows.join(lead, "token").filter("root <> first.root")
+def _starred(frequent: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(u, v): each set with the one that this turn's hash puts first among the holders of a frequent token."""
+    lead = frequent.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("key"), "sid", "n")).alias("first"))
+    pairs = frequent.join(lead, "token").filter("sid <> first.sid")
     pairs = pairs.select(F.least("sid", "first.sid").alias("u"), F.greatest("sid", "first.sid").alias("v"), F.least("n", "first.n").alias("m"), F.greatest("n", "first.n").alias("n"))
     return _enough(pairs, percent, False)
 
