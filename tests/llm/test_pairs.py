@@ -155,6 +155,16 @@ def test_planted_passages_are_found(spark):
     assert substrings.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_of_frequent_parts_are_found(spark):
+    parts = [prose(31 + i, 18) for i in range(3)]
+    rows = [(i, " ".join([prose(7000 + i, 30), *parts, prose(7100 + i, 30)]), "en", "s") for i in (1, 2)]
+    two = ["".join(f"{p} " for p in parts[:2]), "".join(f"{p} " for p in parts[1:]), f"{parts[0]} ", f"{parts[2]} "]
+    rows += [(10 + i, f"{prose(7200 + i, 40)} {two[i % 4]}{prose(7400 + i, 40)}", "en", "s") for i in range(160)]
+    got = substrings.repeated_passages(docs(spark, rows)).collect()
+    assert share_a_run(rows, 50) == {1, 2}
+    assert {(g["doc_id"], g["source_id"], g["start"], g["end"]) for g in got} == {(2, 1, 30, 84)}
+
+
 PAGES = "page_id long, url string, html string, size int, digest string, holder long"
 
 
