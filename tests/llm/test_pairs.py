@@ -165,6 +165,27 @@ def test_passages_of_frequent_parts_are_found(spark):
     assert {(g["doc_id"], g["source_id"], g["start"], g["end"]) for g in got} == {(2, 1, 30, 84)}
 
 
+def test_passages_with_replaced_words_are_found(spark):
+    r, rows, pairs = random.Random(5), [], []
+    for n in range(120):
+        size, every = r.randrange(50, 81), (5, 10, 0)[n % 3]
+        passage = prose(8000 + n, size).split()
+        inside = range(3, size - 3)
+        places = set(inside[::every]) if every else set(r.sample(inside, r.randrange(size // 10, size // 5 + 1)))
+        copy = [f"e{n}x{i}" if i in places else w for i, w in enumerate(passage)]
+        for side, words_ in enumerate((passage, copy)):
+            rows.append((2 * n + side, " ".join([prose(20_000 + 2 * n + side, 40), *words_, prose(30_000 + 2 * n + side, 40)]), "en", "s"))
+        pairs.append((2 * n + 1, 2 * n))
+    texts = {i: words(t) for i, t, _, _ in rows}
+    # By brute force: every pair has 50 or more words in a row with four fifths of them equal.
+    for a, b in pairs:
+        same = [p == q for p, q in zip(texts[a][40:], texts[b][40:])]
+        assert any(5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + 50, len(same) - 39))
+    got = {(g["doc_id"], g["source_id"]) for g in substrings.repeated_passages(docs(spark, rows)).collect()}
+    missing = set(pairs) - got
+    assert not missing, (len(missing), sorted(missing))
+
+
 PAGES = "page_id long, url string, html string, size int, digest string, holder long"
 
 
