@@ -4,7 +4,7 @@ The writer makes one response record per page, or a revisit record where a page
 line end is the end of a WARC record, so Spark's own writer puts them into any store.
 
 The reader checks each record: version line, headers, length, record end and payload digest. After a failed check it looks for the next
-version line (or, in compressed archives, the next gzip member) from which a whole valid record can be read, goes on there and logs the bytes in between as a gap.
+version line or gzip member, whichever comes first, from which a whole valid record can be read, goes on there and logs the bytes in between as a gap.
 
 Defined cases: a null page is an empty payload; a null id gives a record without page number; rows equal in id and payload are all responses
 if no larger id has the payload; an empty table gives no record; other columns than the named ones are not looked at; an archive is
@@ -71,6 +71,7 @@ def write(pages: DataFrame, path: str, **options) -> None:
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_BEGIN = re.compile(re.escape(_MEMBER) + b"|" + _VERSION.pattern)
 
 
 class Bad(Exception):
@@ -141,11 +142,10 @@ def _member(data: bytes, at: int) -> tuple[int, bytes]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
     """(start, end, None, fields) of each valid record, (start, end, reason, None) of each gap, in order; together they cover all bytes."""
-    packed = _MEMBER in data[:4096] and not _VERSION.match(data)
     at, lost, why = 0, None, None
     while at < len(data):
         try:
-            if packed:
+            if data.startswith(_MEMBER, at):
                 end, text = _member(data, at)
                 stop, fields = parse(text, 0)
                 if stop != len(text):
@@ -156,12 +156,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
             if lost is None:
                 lost, why = at, str(e)
             # The search goes on inside the bad record: its length may be what is wrong.
-            if packed:
-                following = data.find(_MEMBER, at + 1)
-            else:
-                found = _VERSION.search(data, at + 1)
-                following = found.start() if found else -1
-            at = following if following >= 0 else len(data)
+            found = _BEGIN.search(data, at + 1)
+            at = found.start() if found else len(data)
             continue
         if lost is not None:
             yield lost, at, why, None

@@ -255,3 +255,21 @@ def test_damaged_members_are_skipped():
     gaps = check_salvage(b"".join(members[:2]) + bytes(broken) + b"".join(members[3:]), [0, 1, 3, 4, 5])
     assert [g[2] for g in gaps] == ["member"]
     check_salvage(b"".join(members)[:-5], [0, 1, 2, 3, 4])
+
+
+def test_damage_to_the_first_bytes_of_an_archive():
+    records = archive()
+    large = random.Random(3).randbytes(9000).hex().encode()
+    block = warc.HEAD.encode() + large
+    first = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    members = [gzip.compress(r) for r in [first, *records]]
+    for at in range(3):
+        data = bytearray(b"".join(members))
+        data[at] ^= 0xFF
+        gaps = check_salvage(bytes(data), list(range(12)))
+        assert [(g[0], g[1]) for g in gaps] == [(0, len(members[0]))]
+    body = warc.HEAD.encode() + gzip.compress(b"a body")
+    packed = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:98>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    gaps = check_salvage(b"X" + packed[1:] + b"".join(records), list(range(12)))
+    assert [(g[0], g[1]) for g in gaps] == [(0, len(packed))]
+    check_salvage(records[0] + members[2] + records[2], [0, 1, 2])
