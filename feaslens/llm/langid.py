@@ -4,7 +4,8 @@ For each language a suffix automaton of labelled text is built. A text is cut, f
 occur in a language's sample; the language that needs the fewest phrases per letter wins. Many pieces of text are parsed at once, one automaton
 step for all of them in numpy. Long texts are parsed in pieces of ``PIECE`` symbols (each cut adds at most one phrase, to every language alike).
 
-Symbols are lower-cased letters of the samples, everything else that is a letter as one symbol, and runs of other characters as one gap.
+Symbols are lower-cased letters of the samples, each its own whatever the script, everything else that is a letter as one symbol, and runs of other
+characters as one gap. Transitions of the ``SYMBOLS`` most frequent symbols are in a table, those of the others in a sorted list.
 
 Defined cases: a null text, and one without letters, is ``und`` with score 0; equal phrase counts go to the language first in
 order; without any labelled text everything is ``und``; repeated rows get one row each; columns other than the named ones are not looked at.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,14 @@ SYMBOLS = 96
 UNKNOWN, GAP = "und", 0
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions (states, symbols) of the suffix automaton of a sequence; -1: none. State 0 is the start."""
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def automaton(text: np.ndarray, symbols: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Transitions (states, symbols) of the suffix automaton of a sequence, -1: none, and (state, symbol, to) for symbols beyond. State 0 is the start."""
     links, lengths, edges, last = [-1], [0], [{}], 0
     for c in text.tolist():
         state = len(links)
@@ -57,11 +65,14 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[state] = copy
         last = state
-    table = np.full((len(links), symbols), -1, dtype=np.int32)
+    table, rare = np.full((len(links), symbols), -1, dtype=np.int32), []
     for state, out in enumerate(edges):
         for c, to in out.items():
-            table[state, c] = to
-    return table
+            if c < symbols:
+                table[state, c] = to
+            else:
+                rare.append((state, c, to))
+    return table, rare
 
 
 class Model:
@@ -74,29 +85,39 @@ class Model:
             for ch in text.lower():
                 if ch.isalpha():
                     letters[ch] = letters.get(ch, 0) + 1
-        common = sorted(letters, key=lambda ch: (-letters[ch], ch))[:SYMBOLS - 2]
-        # Code points of letters outside the samples share one symbol.
-        self.codes = np.array([2 if chr(i).isalpha() else GAP for i in range(0x3000)], dtype=np.uint8)
-        self.codes[self.codes == 2] = 1
-        for i, ch in enumerate(sorted(common)):
-            if ord(ch) < len(self.codes):
-                self.codes[ord(ch)] = i + 2
-        self.symbols = len(common) + 2
-        tables, self.starts, at = [], [], 0
+        ranked = sorted(letters, key=lambda ch: (-letters[ch], ch))
+        common, others = sorted(ranked[:SYMBOLS - 2]), sorted(ranked[SYMBOLS - 2:])
+        # Letters outside the samples share one symbol.
+        self.codes = np.where(_letters(), 1, GAP).astype(np.int32)
+        for i, ch in enumerate(common + others):
+            self.codes[ord(ch)] = i + 2
+        self.symbols, self.alphabet = len(common) + 2, len(ranked) + 2
+        tables, rare, self.starts, at = [], [], [], 0
         for name in self.languages:
-            table = automaton(self.coded(samples[name])[:SAMPLE_SYMBOLS], self.symbols)
+            table, more = automaton(self.coded(samples[name])[:SAMPLE_SYMBOLS], self.symbols)
             table[table >= 0] += at
             tables.append(table)
+            rare += [((state + at) * self.alphabet + c, to + at) for state, c, to in more]
             self.starts.append(at)
             at += len(table)
         self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
+        rare.sort()
+        self.rare_keys, self.rare_to = np.array([k for k, _ in rare], dtype=np.int64), np.array([to for _, to in rare], dtype=np.int32)
+
+    def after(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The state that each symbol leads to from the states in its column; -1: none."""
+        wide = np.flatnonzero(symbols >= self.symbols)
+        if not len(wide):
+            return self.table[states * self.symbols + symbols]
+        out = self.table[states * self.symbols + np.minimum(symbols, self.symbols - 1)]
+        keys = np.broadcast_to(states, out.shape)[:, wide].astype(np.int64) * self.alphabet + symbols[wide]
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        out[:, wide] = np.where(self.rare_keys[at] == keys, self.rare_to[at], -1)
+        return out
 
     def coded(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
-        if len(points) and points.max(initial=0) >= len(self.codes):
-            far = np.flatnonzero(points >= len(self.codes))
-            codes[far] = [1 if chr(points[i]).isalpha() else GAP for i in far]
+        codes = self.codes[points]
         gap = codes == GAP
         return codes[~(gap & np.concatenate([[True], gap[:-1]]))] if len(codes) else codes
 
@@ -123,7 +144,7 @@ class Model:
     def _parse(self, lanes: list[np.ndarray]) -> np.ndarray:
         """(languages, lanes) phrase counts; lanes come longest first."""
         lengths = np.array([len(x) for x in lanes])
-        grid = np.zeros((int(lengths[0]), len(lanes)), dtype=np.uint8)
+        grid = np.zeros((int(lengths[0]), len(lanes)), dtype=np.int32)
         for column, codes in enumerate(lanes):
             grid[:len(codes), column] = codes
         starts = np.array(self.starts, dtype=np.int32)[:, None]
@@ -133,14 +154,14 @@ class Model:
         for step in range(len(grid)):
             while live and lengths[live - 1] <= step:
                 live -= 1
-            symbol, now = grid[step, :live].astype(np.int32), states[:, :live]
+            symbol, now = grid[step, :live], states[:, :live]
             idle = now == starts  # between phrases: one begins here
-            after = self.table[now * self.symbols + symbol]
+            after = self.after(now, symbol)
             ended = after < 0
             found[:, :live] += idle | ended
             if ended.any():
                 # The symbol begins the next phrase; one that the language never has is a phrase by itself.
-                again = self.table[starts * self.symbols + symbol]
+                again = self.after(starts, symbol)
                 after = np.where(ended, np.where(again < 0, starts, again), after)
             states[:, :live] = after
         return found
@@ -160,19 +181,21 @@ def _model(data: bytes) -> Model:
 def samples(docs: DataFrame, learn: str, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, str]:
     """Text by language of at most ``rows`` labelled rows each that fulfil ``learn``, in hash order; a few hundred kB a language at most."""
     labelled = docs.filter(learn).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # Only letters teach; a row without a few of them would use up a place.
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.xxhash64(F.col("id"), F.lit(29)))
+    # Only letters teach; a row without them would use up a place.
+    labelled = labelled.withColumn("text", F.substring("text", 1, SAMPLE_SYMBOLS))
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64(F.col("id"), F.lit(29)))
     order = Window.partitionBy("lang").orderBy("key", "id")
     picked = labelled.select("lang", "id", "key", "text").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
     out: dict[str, list[str]] = {}
-    for row in picked.select("lang", "place", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text")).orderBy("lang", "place").collect():
+    for row in picked.select("lang", "place", "text").orderBy("lang", "place").collect():
         out.setdefault(row["lang"], []).append(row["text"])
     return {name: _even(texts, SAMPLE_SYMBOLS) for name, texts in out.items()}
 
 
 def _even(texts: list[str], total: int) -> str:
-    """About ``total`` characters, as evenly from all texts as their lengths allow."""
-    left, parts = 2 * total, []
+    """At most ``total`` characters, gaps as one each, as evenly from all texts as their lengths allow."""
+    texts = [" ".join("".join(ch if ch.isalpha() else " " for ch in text.lower()).split()) for text in texts]
+    left, parts = total - len(texts) + 1, []
     for i, text in enumerate(sorted(texts, key=len)):
         take = left // (len(texts) - i)
         parts.append(text[:take])

@@ -141,6 +141,33 @@ def test_languages_of_held_out_texts(spark):
     assert {g["lang_pred"] for g in langid.predict(docs(spark, rows[:5]), "false").collect()} == {"und"}
 
 
+def test_languages_in_large_alphabets(spark):
+    r = random.Random(8)
+    shared = [chr(0x4E00 + i) for i in range(400)]
+    own = {name: shared + [chr(first + i) for i in range(n)] for name, first, n in (("zh", 0x5800, 400), ("ja", 0x3042, 80), ("ko", 0xAC00, 600))}
+    own |= {name: [chr(first + i) for i in range(30)] for name, first in (("ru", 0x430), ("el", 0x3B1), ("ka", 0x10D0), ("hy", 0x561), ("en", 0x61))}
+    own["en"] = own["en"][:26]
+    # Words of a language are drawn from a list: only their order in a text differs.
+    lists = {name: ["".join(r.choice(letters) for _ in range(r.randint(1, 3))) for _ in range(300)] for name, letters in own.items()}
+    names = sorted(own)
+    rows = [(i, " ".join(r.choice(lists[names[i % 8]]) for _ in range(30)), names[i % 8], "s") for i in range(480)]
+    rows += [(10_000 + i, "12 34 !?", "ka", "s") for i in range(500)]
+    model = langid.Model(langid.samples(docs(spark, rows), "true"))
+    assert len({int(model.codes[ord(ch)]) for letters in own.values() for ch in letters if model.codes[ord(ch)] > 1}) == model.alphabet - 2 > 1000
+    got = {g["doc_id"]: g["lang_pred"] for g in langid.predict(docs(spark, rows), "doc_id % 5 <> 0").collect()}
+    assert np.mean([got[i] == names[i % 8] for i in range(0, 480, 5)]) > 0.98
+    counts, _ = model.phrases([rows[0][1]])
+    sample = langid.samples(docs(spark, rows), "true")[names[0]]
+    assert counts[0, 0] == longest_matches("".join(map(chr, model.coded(rows[0][1]) + 0x20)), "".join(map(chr, model.coded(sample) + 0x20)))
+
+
+def test_samples_take_from_all_texts():
+    texts = ["a, b. " * 10_000, "c" * 30_000, "d - " * 20]
+    sample = langid._even(texts, langid.SAMPLE_SYMBOLS)
+    assert len(sample) <= langid.SAMPLE_SYMBOLS and sample.count("d") == 20
+    assert abs(sample.count("c") - len([p for p in sample.split("\n") if "a" in p][0])) <= 1
+
+
 def test_held_out_rule_is_that_of_zlib(spark):
     got = spark.sql("select id, pmod(crc32(cast(cast(id as string) as binary)), 5) = 0 as held from range(200)").collect()
     assert all(r["held"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
