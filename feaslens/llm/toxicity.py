@@ -2,8 +2,8 @@
 
 Terms are the distinct words of a text (ASCII letters in lower case, parted at every other ASCII character) and the first five bytes of longer
 words, as 32-bit hashes. The machine adds a weight per term and, through factors of a few numbers per term, a weight for each pair of terms
-that meet in a text, so that two terms together can say what neither says alone. It is fitted on a bounded sample of labelled rows: terms
-are kept whose share differs between the classes by more than chance, and those common enough in toxic texts to matter in a pair; a fifth
+that meet in a text, so that two terms together can say what neither says alone. It is fitted on a bounded sample of labelled rows: every term of
+``LEAST_ROWS`` texts or more is kept, since one that says little by itself may matter in a pair, and begins with smaller steps the less it says; a fifth
 of the sample is kept aside to tell after which round to stop.
 
 Defined cases: a null or empty text, and one without known terms, gets the score of the bias alone; labels that are null are not learned from;
@@ -26,9 +26,6 @@ from feaslens.llm.common import pick, pieces, utf8, word_hashes
 #: Bound of the fit: labelled rows of each class, picked by hash.
 SAMPLE_ROWS = 6000
 LEAST_ROWS = 3
-#: Chi-square (one degree of freedom) from which a term is kept; share of the toxic texts from which one is kept anyway.
-LEAST_ASSOCIATION = 20.0
-COMMON_SHARE = 0.1
 STEM = 5
 FACTORS = 4
 EPOCHS = 30
@@ -36,6 +33,10 @@ BATCH = 128
 RATE = 0.5
 #: What the sums of squared slopes begin with: chance terms then don't leap on their first sight.
 FIRST = 0.1
+#: Terms of a smaller chi-square (one degree of freedom), unless in so large a share of the toxic texts, begin with more, up to exp(CALM) times as much.
+ASSOCIATION = 20.0
+COMMON_SHARE = 0.1
+CALM = 5.0
 DECAY = 2e-4
 
 _BREAKS = np.ones(256, dtype=bool)
@@ -82,18 +83,20 @@ def distinct_terms(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def kept_terms(examples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Terms in order that the machine gets weights for."""
-    of_class = [np.unique(np.concatenate([e for e, y in zip(examples, labels) if y == c] or [np.empty(0, np.uint32)]), return_counts=True) for c in (0, 1)]
-    terms = np.union1d(of_class[0][0], of_class[1][0])
-    counts = np.zeros((2, len(terms)))
-    for c, (own, n) in enumerate(of_class):
-        counts[c, np.searchsorted(terms, own)] = n
-    n0, n1 = float((labels == 0).sum()), float((labels == 1).sum())
-    b, a = counts
-    whole, n = a + b, n0 + n1
-    square = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(n0 * n1 * whole * (n - whole), 1.0)
-    return terms[(whole >= LEAST_ROWS) & ((square >= LEAST_ASSOCIATION) | (a >= np.maximum(COMMON_SHARE * n1, LEAST_ROWS)))]
+def kept_terms(examples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order that the machine gets weights for, and what each one's sums of squared slopes begin with."""
+    whole = np.unique(np.concatenate(examples or [np.empty(0, np.uint32)]), return_counts=True)
+    terms, n = whole[0][whole[1] >= LEAST_ROWS], whole[1][whole[1] >= LEAST_ROWS].astype(np.float64)
+    own, counts = np.unique(np.concatenate([e for e, y in zip(examples, labels) if y == 1] or [np.empty(0, np.uint32)]), return_counts=True)
+    a = np.zeros(len(terms))
+    at = np.searchsorted(terms, own)
+    known = at < len(terms)
+    known[known] = terms[at[known]] == own[known]
+    a[at[known]] = counts[known]
+    n1, total = float((labels == 1).sum()), float(len(labels))
+    square = total * (a * total - n * n1) ** 2 / np.maximum(n1 * (total - n1) * n * (total - n), 1.0)
+    sure = (square >= ASSOCIATION) | (a >= np.maximum(COMMON_SHARE * n1, LEAST_ROWS))
+    return terms, FIRST * np.where(sure, 1.0, np.exp(CALM * (1.0 - square / ASSOCIATION)))
 
 
 def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Machine:
@@ -104,7 +107,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, see
     if not both(aside) or not both(~aside):
         aside[:] = False
     own = np.flatnonzero(~aside)
-    terms = kept_terms([examples[i] for i in own], labels[own])
+    terms, first = kept_terms([examples[i] for i in own], labels[own])
     w, v = np.zeros(len(terms)), random.normal(0.0, 0.01, (len(terms), FACTORS))
     if not len(labels) or labels.min() == labels.max() or not len(terms):
         return Machine(terms, w, np.zeros_like(v), 30.0 if len(labels) and labels.min() == 1 else -30.0)
@@ -114,7 +117,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, see
         rows.append(at[terms[at] == e])
     rate = float((weights * labels).sum() / weights.sum())
     bias, bias_sum = float(np.log(rate / (1 - rate))), 1e-8
-    w_sum, v_sum = np.full(len(terms), FIRST), np.full(v.shape, FIRST)
+    w_sum, v_sum = first.copy(), np.repeat(first[:, None], FACTORS, axis=1)
     weights = weights / weights.mean()
     best: tuple[float, Machine] | None = None
     test = np.flatnonzero(aside) if aside.any() else own

@@ -79,6 +79,27 @@ def test_machine_learns_a_pair_that_single_words_miss():
     assert [int(p >= 0.5) for p in terms] == [y for _, y in tests], terms
 
 
+def pair_texts(seed, toxic, clean):
+    """Texts with one of 20 insults and one of 20 groups if toxic, and else with an insult, a group or neither."""
+    r, out = random.Random(seed), []
+    for i in range(toxic + clean):
+        kind = "both" if i < toxic else r.choice(["insult", "group", "none", "none"])
+        more = [f"insult{chr(97 + r.randrange(20))}x"] * (kind in ("both", "insult")) + [f"zz{chr(97 + r.randrange(20))}folk"] * (kind in ("both", "group"))
+        words = [f"{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(12))}" for _ in range(30)] + more
+        r.shuffle(words)
+        out.append((" ".join(words).replace("insult", "").encode(), float(kind == "both"), kind))
+    return out
+
+
+def test_machine_learns_pairs_of_many_words():
+    train, test = pair_texts(1, 350, 6000), pair_texts(2, 300, 3000)
+    labels = np.array([y for _, y, _ in train])
+    machine = toxicity.fit(toxicity.distinct_terms([t for t, _, _ in train]), labels, np.ones(len(labels)))
+    hit = toxicity._scores(machine, [t for t, _, _ in test]) >= 0.5
+    share = {k: float(np.mean(hit[[i for i, t in enumerate(test) if t[2] == k]])) for k in ("both", "insult", "group", "none")}
+    assert share["both"] > 0.6 and max(share[k] for k in ("insult", "group", "none")) < 0.05, share
+
+
 def test_toxic_words_are_found_in_held_out_texts(spark):
     r = random.Random(5)
     rows, labels = [], []
