@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, toxicity, warc
+from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,9 @@ def ngram_jaccard(spark, sf_dir):
 @query("op4_repeated_passages")
 def repeated_passages(spark, sf_dir):
     return substrings.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def count_tokens(spark, sf_dir):
+    vocabulary = token_counts.compile_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary, 512)
