@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, token_counts, toxicity, warc
+from feaslens.llm import bpe, codes, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,8 @@ def repeated_passages(spark, sf_dir):
 def count_tokens(spark, sf_dir):
     vocabulary = token_counts.compile_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary, 512)
+
+
+@query("op11_vector_codes", codes.COMPRESS_SQL)
+def vector_codes(spark, sf_dir):
+    return codes.compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
