@@ -90,8 +90,15 @@ def test_trees_give_the_nearest_entry(n, k, width):
     assert (best == want).all()
     for a, b, e, s in whole:
         assert (best[a:b] == e).all() and (x[order][a:b].sum(axis=0) == s).all()
-    if width == 3:
-        assert whole  # nodes of equal parts are taken whole
+
+
+def test_far_clusters_are_assigned_whole():
+    r = np.random.default_rng(1)
+    centres = np.array([[0, 0], [10_000, 0], [0, 10_000], [10_000, 10_000]])
+    x = centres[r.integers(0, 4, 4000)] + r.integers(-50, 50, (4000, 2))
+    order, stats = codes._tree(x, codes.LEAF)
+    best, whole = codes.Book(centres).assign(x[order], stats)
+    assert sum(b - a for a, b, _, _ in whole) > 3500 and (best == ((x[order][:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
 
 
 def test_query_over_whole_table(spark, sf):
