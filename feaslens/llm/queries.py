@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feaslens.llm import bpe, codes, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, token_counts, toxicity, warc
+from feaslens.llm import bpe, codes, divergence, fingerprints, langid, mixing, neighbours, ngram_join, secrets, substrings, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def count_tokens(spark, sf_dir):
 @query("op11_vector_codes", codes.COMPRESS_SQL)
 def vector_codes(spark, sf_dir):
     return codes.compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_source_divergence", divergence.AUDIT_SQL)
+def source_divergence(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"))
