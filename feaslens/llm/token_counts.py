@@ -5,11 +5,11 @@ and has eight states. A window of text is cut into chunks; each chunk's map from
 the maps are composed by a parallel prefix scan, and then every chunk runs from its true entry state. The character classes are asked from
 the tokenizer library itself, so they follow its Unicode version.
 
-The second transducer reads the bytes of a pre-token. Its transitions carry the change of the token count, so the sum over all bytes is the count and
-the place of the tokens needn't be known. Its state is the longest end of the bytes read that begins some token, with the last token and the relative
-count of each prefix at which a token may still start. The last token of a prefix is the one that ends there and can follow the last
-token before it; a token can follow another if merging the bytes of both gives just these two. States and transitions are made on
-demand, kept in dense tables of bounded size, and all pre-tokens of a window step together.
+The second transducer reads the bytes of a pre-token. Its states are the beginnings of tokens: the state is the longest end of the bytes read that
+begins some token, and each state names the tokens that end there. The last token of a prefix is the one of these that can follow the last token before it, and the
+transition emits the change of the token count, so the sum over all bytes is the count. One token can follow another unless some part on the
+right edge of the first would merge with one on the left edge of the second while both are there, by the ranks of the merges that make and
+take them; answers are kept in a table of fixed size. All pre-tokens of a window step together.
 
 Defined cases: a null or empty text has no tokens; a special string in a text is one token, as is the library's default; repeated rows are counted each;
 a table without rows gives none; columns other than the named ones are not looked at. Memory is bounded by the window whatever a text's length.
@@ -31,13 +31,13 @@ from tokenizers import Tokenizer
 
 from feaslens.llm.common import BLOCK, pick, pieces
 
-#: Characters a window holds, characters a chunk holds, states of the counting transducer that are kept (1.25 kB each), pairs of tokens remembered.
+#: Characters a window holds, characters a chunk holds, answers kept about pairs of tokens (a power of two).
 WINDOW = BLOCK // 4
 CHUNK = 256
-MAX_STATES = 1 << 16
-MAX_PAIRS = 1 << 18
+ANSWERS = 1 << 20
 #: Pre-tokens that still have bytes left when fewer than this many do are finished one by one.
 FEW_LANES = 24
+NEVER = np.int64(1) << 40
 
 #: Stands between texts; no text holds it.
 BREAK = "\ud800"
@@ -76,7 +76,7 @@ class Vocabulary:
     """What a tokenizer file says, ready to be sent to tasks: tokens, merges, special strings and runs of character classes."""
 
     tokens: tuple[bytes, ...]
-    merges: dict[tuple[int, int], tuple[int, int]]
+    merges: dict[tuple[int, int], tuple[int, int]]  # pair of tokens: rank and the token made
     special: tuple[str, ...]
     class_starts: np.ndarray
     class_of_run: np.ndarray
@@ -135,97 +135,121 @@ def compile_tokenizer(path: str) -> Vocabulary:
 
 
 class Counter:
-    """Both transducers of a vocabulary; the second grows as it is used."""
+    """Both transducers of a vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = vocabulary
-        self.tokens = v.tokens
-        self.ids = {token: i for i, token in enumerate(v.tokens)}
-        self.merges, self.special = v.merges, v.special
-        self.singles = [self.ids[bytes([b])] for b in range(256)]
-        self.begins = {token[:n] for token in v.tokens for n in range(len(token))}
+        self.special = v.special
         self.classes = np.repeat(v.class_of_run, np.diff(np.append(v.class_starts, 0x110000)))
         self.classes[0xD800:0xE000] = OTHER
         self.classes[ord(BREAK)] = END
         self.to, self.cut = _cutter()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        """Starts the second transducer anew with its first state only."""
-        self.states: list[tuple] = []
-        self.names: dict[tuple, int] = {}
-        self.next = np.full(256 * 256, -1, dtype=np.int32)
-        self.more = np.zeros(256 * 256, dtype=np.int8)
-        self._state((b"", ((0, -1, 0),)))
-
-    def _state(self, key: tuple) -> int:
-        name = self.names.get(key)
-        if name is None:
-            name = self.names[key] = len(self.states)
-            self.states.append(key)
-            if (name + 1) * 256 > len(self.next):
-                self.next = np.concatenate([self.next, np.full(len(self.next), -1, dtype=np.int32)])
-                self.more = np.concatenate([self.more, np.zeros(len(self.more), dtype=np.int8)])
-        return name
-
-    def _merged(self, data: bytes) -> list[int]:
-        """Token ids of a few bytes, lowest merge rank first."""
-        parts = [self.singles[b] for b in data]
-        while True:
-            best = min(((self.merges[p], p) for p in zip(parts, parts[1:]) if p in self.merges), default=None)
-            if best is None:
-                return parts
-            (_, made), pair = best
-            out: list[int] = []
-            for i in parts:
-                if out and (out[-1], i) == pair:
-                    out[-1] = made
-                else:
-                    out.append(i)
-            parts = out
-
-    def _follows(self, a: int, b: int) -> bool:
-        """Whether token ``b`` can come after token ``a``, or first if that is below 0."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            both = [b] if a < 0 else [a, b]
-            ok = self.pairs[a, b] = self._merged(b"".join(self.tokens[i] for i in both)) == both
+        self.longest_token = max(map(len, v.tokens))
+        self._edges(v)
+        self._states(v)
+        self.asked = np.full(ANSWERS, -1, dtype=np.int64)
+        self.answer = np.zeros(ANSWERS, dtype=bool)
+
+    def _edges(self, v: Vocabulary) -> None:
+        """The parts on the left and right edge of each token from the token down to a byte, and the rank of the merge that takes each."""
+        n = len(v.tokens)
+        pairs = np.array(list(v.merges), dtype=np.int64).reshape(-1, 2)
+        made = np.array(list(v.merges.values()), dtype=np.int64).reshape(-1, 2)
+        keys = pairs[:, 0] * n + pairs[:, 1]
+        order = np.argsort(keys)
+        self.merge_keys, self.merge_ranks, self.tokens = np.append(keys[order], -1), np.append(made[order, 0], NEVER), n
+        self.edges = []
+        for side in (1, 0):  # right edge of the first token, left edge of the second
+            part, taken = np.full(n, -1), np.full(n, NEVER)
+            part[made[:, 1]], taken[made[:, 1]] = pairs[:, side], made[:, 0]
+            row, rank = np.arange(n), np.full(n, NEVER)
+            rows, ranks = [row], [rank]
+            while (row >= 0).any():
+                rank = np.where(row >= 0, taken[row], NEVER)
+                row = np.where(row >= 0, part[row], -1)
+                rows.append(row)
+                ranks.append(rank)
+            rows, ranks = np.stack(rows, axis=1), np.stack(ranks, axis=1)
+            self.edges.append((rows, ranks, (rows >= 0).sum(axis=1)))
+        # A token that its own parts don't come together to is never made.
+        whole = np.ones(n, dtype=bool)
+        for (a, b), (rank, token) in sorted(v.merges.items(), key=lambda m: len(v.tokens[m[1][1]])):
+            whole[token] = whole[a] and whole[b]
+        both = np.flatnonzero(whole[made[:, 1]])
+        whole[made[both, 1]] &= self._apart(pairs[both, 0], pairs[both, 1], made[both, 0])
+        for token in np.argsort([len(t) for t in v.tokens], kind="stable")[256:]:
+            x = [e[0][token, 1] for e in self.edges]
+            whole[token] &= x[1] < 0 or bool(whole[x[0]] and whole[x[1]])
+        self.whole = whole
+
+    def _apart(self, first: np.ndarray, second: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether tokens stay apart (until the merge of rank ``before``): no parts at their border merge while both are there."""
+        (a, a_rank, a_size), (b, b_rank, b_size) = self.edges
+        size = a_size[first] * b_size[second]
+        pair = np.repeat(np.arange(len(first)), size)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        x, y = k // b_size[second][pair], k % b_size[second][pair]
+        key = a[first[pair], x] * self.tokens + b[second[pair], y]
+        at = np.minimum(np.searchsorted(self.merge_keys[:-1], key), len(self.merge_keys) - 2)
+        rank = np.where(self.merge_keys[at] == key, self.merge_ranks[at], NEVER)
+        # Of merges of one rank the leftmost comes first.
+        joins = (rank < a_rank[first[pair], x]) & (rank <= b_rank[second[pair], y]) & (rank < NEVER)
+        if before is not None:
+            joins &= rank < before[pair]
+        out = np.ones(len(first), dtype=bool)
+        out[pair[joins]] = False
+        return out
+
+    def _states(self, v: Vocabulary) -> None:
+        """Next state by state * 256 + byte, and the longest token that ends in each state; for each token the next shorter one that ends it."""
+        ids = {token: i for i, token in enumerate(v.tokens)}
+        begins = sorted({token[:k] for token in v.tokens for k in range(len(token))}, key=len)
+        name = {text: i for i, text in enumerate(begins)}
+        fall = np.zeros(len(begins), dtype=np.int32)
+        self.next = np.zeros(len(begins) * 256, dtype=np.int32)
+        table = self.next.reshape(-1, 256)
+        below: list[list[tuple[int, int]]] = [[] for _ in begins]
+        for i, text in enumerate(begins[1:], 1):
+            below[name[text[:-1]]].append((text[-1], i))
+        for i in range(len(begins)):
+            if i:
+                table[i] = table[fall[i]]
+            for byte, child in below[i]:
+                fall[child] = table[i, byte] if i else 0
+                table[i, byte] = child
+        self.length = np.array([len(t) for t in v.tokens], dtype=np.int32)
+        ending = lambda text: next((ids[text[k:]] for k in range(len(text)) if text[k:] in ids), -1)
+        self.shorter = np.array([ending(t[1:]) for t in v.tokens], dtype=np.int32)
+        # The longest token that ends at state + byte: the state's text with the byte, or what ends it.
+        self.ends = np.full(len(self.next), -1, dtype=np.int32)
+        ends = self.ends.reshape(-1, 256)
+        for token, i in ids.items():
+            ends[name[token[:-1]], token[-1]] = i
+        for i in range(1, len(begins)):
+            row = ends[i]
+            row[row < 0] = ends[fall[i]][row < 0]
+
+    def _follows(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether tokens can come after others, or first where ``last`` is below 0."""
+        key = (last.astype(np.int64) + 1) << 20 | token
+        slot = (key * np.int64(0x9E3779B1) >> 12) & (ANSWERS - 1)
+        new = np.flatnonzero(self.asked[slot] != key)
+        if len(new):
+            keys, first = np.unique(key[new], return_index=True)
+            at = slot[new[first]]
+            self.asked[at], self.answer[at] = keys, self._afresh(last[new[first]], token[new[first]])
+        out = self.answer[slot]
+        lost = np.flatnonzero(self.asked[slot] != key) if len(new) else new  # another pair took the place
+        if len(lost):
+            out[lost] = self._afresh(last[lost], token[lost])
+        return out
+
+    def _afresh(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        ok = self.whole[token].copy()
+        some = np.flatnonzero(ok & (last >= 0))
+        ok[some] = self._apart(last[some], token[some])
         return ok
 
-    def _step(self, state: int, byte: int) -> tuple[tuple, int]:
-        """The state behind a byte and by how much the count grows."""
-        end, prefixes = self.states[state]
-        longer = end + bytes([byte])
-        for back, last, growth in prefixes:
-            token = longer[len(end) - back:]
-            i = self.ids.get(token)
-            if i is not None and self._follows(last, i):
-                change = 1 - growth
-                break
-        else:
-            raise AssertionError("every byte is a token")
-        at = next(k for k in range(len(longer) + 1) if longer[k:] in self.begins)
-        kept = longer[at:]
-        rows = [(back + 1, last, growth + change) for back, last, growth in prefixes if back + 1 <= len(kept) and kept[len(kept) - back - 1:] in self.begins]
-        return (kept, (*rows, (0, i, 0))), change
-
-    def _learn(self, keys: np.ndarray) -> None:
-        """Fills transitions, named by state * 256 + byte."""
-        for key in np.unique(keys).tolist():
-            to, change = self._step(key >> 8, key & 255)
-            name = self._state(to)
-            self.next[key], self.more[key] = name, change
-
-    def _only(self, now: np.ndarray) -> np.ndarray:
-        """Forgets all states but these; their new names."""
-        states, place = np.unique(now, return_inverse=True)
-        kept = [self.states[s] for s in states.tolist()]
-        self._forget()
-        return np.array([self._state(key) for key in kept], dtype=np.int64)[place]
-
     def _windows(self, stream: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Code points, symbols and how many of the code points belong to each window; two further ones are looked at."""
         for a in range(0, len(stream), WINDOW):
@@ -273,50 +297,55 @@ class Counter:
                 final = int(now[-1])
         return out.T.ravel()[:n], final
 
-    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: int) -> tuple[np.ndarray, int]:
-        """Count changes per byte over pieces; the first piece goes on from ``state``. Also the state behind the last piece."""
-        change = np.zeros(len(data), dtype=np.int8)
-        length = ends - starts
+    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, last: np.ndarray, count: np.ndarray, state: int) -> int:
+        """Fills the last token and the count of each prefix of the pieces; the first piece goes on from ``state``. The state behind the last piece.
+
+        The arrays begin before the window, at the end of a piece that goes on.
+        """
+        back = len(last) - len(data)
+        length = ends - np.maximum(starts, 0)
         order = np.argsort(-length, kind="stable")
-        start, length = starts[order], length[order]
-        # One place more than lanes: the last piece's state, whose lane may end early.
-        now = np.zeros(len(start) + 1, dtype=np.int64)
+        start, begin, length = starts[order], np.maximum(starts, 0)[order], length[order]
+        now = np.zeros(len(start), dtype=np.int64)
         now[np.flatnonzero(order == 0)] = state
-        tail = int(np.flatnonzero(order == len(order) - 1)[0])
         lanes = np.searchsorted(-length, -np.arange(int(length[0]) + 1), side="left").tolist()  # how many are longer than k
         k = 0
         while lanes[k] >= FEW_LANES:
             live = lanes[k]
-            at = start[:live] + k
+            at = begin[:live] + k
             key = now[:live] * 256 + data[at]
-            to = self.next[key]
-            if (to < 0).any():
-                self._learn(key[to < 0])
-                to = self.next[key]
-            change[at] = self.more[key]
-            now[:live] = to
-            if len(self.states) > MAX_STATES:
-                now[-1] = now[tail]
-                now[lanes[k + 1]:-1] = 0
-                now = self._only(now)
-                now[tail] = now[-1]
+            now[:live], token = self.next[key], self.ends[key]
+            todo = np.arange(live)
+            while len(todo):
+                mine = token[todo]
+                before = at[todo] - self.length[mine]
+                inside = before >= start[todo]
+                place = np.where(inside, before, 0) + back
+                good = self._follows(np.where(inside, last[place], -1), mine)
+                done = todo[good]
+                last[at[done] + back] = mine[good]
+                count[at[done] + back] = np.where(inside[good], count[place[good]], 0) + 1
+                todo = todo[~good]
+                token[todo] = self.shorter[token[todo]]
             k += 1
         for lane in range(lanes[k]):
-            s, a = int(now[lane]), int(start[lane])
+            s, a, first = int(now[lane]), int(begin[lane]), int(start[lane])
             for p, byte in enumerate(data[a + k:a + int(length[lane])].tolist(), a + k):
                 key = s << 8 | byte
-                to = self.next.item(key)
-                if to < 0:
-                    self._learn(np.array([key]))
-                    to = self.next.item(key)
-                change[p] = self.more.item(key)
-                s = to
-                if len(self.states) > 2 * MAX_STATES:
-                    now[lane] = s
-                    now = self._only(now)
-                    s = int(now[lane])
+                s, token = self.next.item(key), self.ends.item(key)
+                while True:
+                    before = p - self.length.item(token)
+                    prior = last.item(before + back) if before >= first else -1
+                    asked = (prior + 1) << 20 | token
+                    slot = (asked * 0x9E3779B1 >> 12) & (ANSWERS - 1)
+                    good = self.answer.item(slot) if self.asked.item(slot) == asked else bool(self._follows(np.array([prior]), np.array([token]))[0])
+                    if good:
+                        break
+                    token = self.shorter.item(token)
+                last[p + back] = token
+                count[p + back] = (count.item(before + back) if before >= first else 0) + 1
             now[lane] = s
-        return change, int(now[tail])
+        return int(now[np.flatnonzero(order == len(order) - 1)[0]])
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -332,10 +361,11 @@ class Counter:
         if not parts:
             return out
         counts = np.zeros(len(parts), dtype=np.int64)
-        part, cutter, counter = 0, FRESH, 0
+        # Of a piece that goes on into the next window: its state, its bytes so far, and the last tokens and counts at its end.
+        part, cutter, state, sofar = 0, FRESH, 0, 0
+        back = self.longest_token
+        tail = np.zeros(back, dtype=np.int32), np.zeros(back, dtype=np.int64)
         for points, symbols, n in self._windows(BREAK.join(parts) + BREAK):
-            if len(self.states) > MAX_STATES:
-                counter = int(self._only(np.array([counter]))[0])
             cuts, cutter = self._cuts(symbols, cutter)
             stop = symbols == S_END
             width = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int64)
@@ -343,17 +373,26 @@ class Counter:
             begin = np.cumsum(width) - width
             data = np.frombuffer(points[~stop].tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
             starts = begin[cuts & ~stop]
-            carried = not len(starts) or starts[0] > 0
-            starts = np.append(0, starts) if carried else starts
+            if not len(starts) or starts[0] > 0:
+                starts = np.append(-sofar, starts)
+            else:
+                state = 0
             ends = np.append(starts[1:], len(data))
-            change, counter = self._run(data, starts, ends, counter if carried else 0)
-            sums = np.zeros(len(data) + 1, dtype=np.int64)
-            np.cumsum(change, out=sums[1:])
+            last, count = (np.concatenate([t, np.zeros(len(data), dtype=t.dtype)]) for t in tail)
+            state = self._run(data, starts, ends, last, count, state)
+            # What a piece adds: its count at its end, less what was there before the window.
+            added = np.where(ends > np.maximum(starts, 0), count[ends - 1 + back], 0)
+            added[0] -= count[back - 1] if starts[0] < 0 and ends[0] > 0 else 0
             marks = np.concatenate([[0], begin[stop], [len(data)]])
-            counts[part:part + len(marks) - 1] += np.diff(sums[marks])[:len(counts) - part]
+            sums = np.concatenate([[0], np.cumsum(added)])
+            pieces_before = np.searchsorted(np.maximum(starts, 0), marks, side="left")
+            pieces_before[0], pieces_before[-1] = 0, len(starts)
+            counts[part:part + len(marks) - 1] += np.diff(sums[pieces_before])[:len(counts) - part]
             part += len(marks) - 2
+            sofar = len(data) - int(starts[-1])
+            tail = last[-back:], count[-back:]
             if stop[n - 1]:
-                counter = 0
+                state = sofar = 0
         return out + np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
 
 

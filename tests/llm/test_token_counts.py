@@ -38,10 +38,10 @@ def test_counts_are_those_of_the_library(vocabulary, library):
     assert token_counts.Counter(vocabulary).count(texts).tolist() == library(texts)
 
 
-def test_windows_chunks_and_forgotten_states_change_nothing(vocabulary, library, monkeypatch):
+def test_windows_chunks_and_lost_answers_change_nothing(vocabulary, library, monkeypatch):
     monkeypatch.setattr(token_counts, "WINDOW", 61)
     monkeypatch.setattr(token_counts, "CHUNK", 7)
-    monkeypatch.setattr(token_counts, "MAX_STATES", 200)
+    monkeypatch.setattr(token_counts, "ANSWERS", 64)
     monkeypatch.setattr(token_counts, "FEW_LANES", 3)
     texts = [t[:3000] for t in TEXTS] + random_texts(400)
     assert token_counts.Counter(vocabulary).count(texts).tolist() == library(texts)
