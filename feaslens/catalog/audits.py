@@ -117,7 +117,7 @@ ok as (select * from sv where x is not null)"""
 
 
 @query("AU8_ttc_sensitivity", f"""
-with {SENS_SQL}, {cb.index_sql('variable', 'ok')}, {cb.draws_sql(20, 'variable')},
+with {SENS_SQL}, {cb.index_sql('variable', 'ok')}, {cb.draws_sql(cb.N, 'variable')},
 rk as (select variable, scenario as g, rank() over (partition by variable order by x) + (count(*) over (partition by variable, x) - 1) / 2.0 - (count(*) over (partition by variable) + 1) / 2.0 as rx,
   rank() over (partition by variable order by yy) + (count(*) over (partition by variable, yy) - 1) / 2.0 - (count(*) over (partition by variable) + 1) / 2.0 as ry from ok),
 mo as (select variable, g, count(*)::double w, sum(rx) a, sum(ry) b_, sum(rx * rx) aa, sum(ry * ry) bb, sum(rx * ry) ab from rk group by 1, 2),
@@ -126,7 +126,7 @@ s as (select variable, b, sum(w) w, sum(a) a, sum(b_) b_, sum(aa) aa, sum(bb) bb
 select variable, {r('max(case when b = 0 then value end)')} as spearman, {r('quantile_cont(case when b > 0 then value end, 0.025)')} as ci_low, {r('quantile_cont(case when b > 0 then value end, 0.975)')} as ci_high, count(case when b > 0 then value end) as n_bootstrap_valid from cr group by 1""")
 def au8c(spark, sf):
     df = match_rows(spark, sf).withColumns({"l": F.col("s2") % 4, "sc": (F.col("id") % 50).cast("string")})
-    return rounded(au.ttc_sensitivity(df, "current_ttc_s", "l", "current_min_distance_m", "sc", 20))
+    return rounded(au.ttc_sensitivity(df, "current_ttc_s", "l", "current_min_distance_m", "sc", cb.N))
 
 
 # Two taxonomies of the same order: from its first and second priority-like columns.
@@ -320,14 +320,14 @@ def au18(spark, sf):
 
 
 @query("AU18_gates_with_deltas", f"""
-with {SCORED_SQL}, {cb.reps_sql(['disc', 'score'], 20)}, {cb.deltas_sql([('disc', 'score')])},
+with {SCORED_SQL}, {cb.reps_sql(['disc', 'score'], cb.N)}, {cb.deltas_sql([('disc', 'score')])},
 p as (select scenario, count(*) n, sum(y) k from scored group by 1), f as (select sum(k) kn, sum((k > 0)::int) sc, max(n) lg from p)
 select 'known_positives' as gate, kn::double as value, 150.0 as "limit", kn >= 150 as passed from f union all select 'positive_scenarios', sc, 75, sc >= 75 from f union all select 'unknown_not_above_known', 0, kn, 0 <= kn from f
 union all select 'no_concentrated_burst', 0, 0, true union all select 'samples_per_scenario', lg, 10, lg <= 10 from f union all select 'beats:' || enhanced || '>' || baseline || ':' || metric, {r('ci_low')}, 0, coalesce(delta > 0 and ci_low > 0, false) from agg""")
 def au18b(spark, sf):
     rows = scored_rows(spark, sf)
     labels = rows.select(F.col("scenario").alias("scenario_id"), F.when(F.col("y") == 1, "known_failure").otherwise("no_failure").alias("failure_taxonomy"), F.lit("x").alias("planner_failure_reason"))
-    return rounded(au.gates(labels, bt.paired_delta(rows, "y", "disc", "score", "scenario", 20)))
+    return rounded(au.gates(labels, bt.paired_delta(rows, "y", "disc", "score", "scenario", cb.N)))
 
 
 @query("AU20_sanity", f"""

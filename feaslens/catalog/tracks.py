@@ -305,18 +305,22 @@ def ac20(spark, sf):
 LAT_ROWS = [(i * 7 + j, lo[0], la[0], "emergency" if lo[3] or la[4] else "comfort", lo[1], la[1], la[2], lo[2] + la[3])
             for i, lo in enumerate(ac.LATTICE_LON["lattice_base"]) for j, la in enumerate(ac.LATTICE_LAT["lattice_base"])]
 P = ac.PlannerParams(horizon_s=3.0, dt=DT, ignore_initial_s=0.6, lane_buffer_m=4.0)
-LATTICE_SQL = f"""cand as (select * from (values {values_sql(LAT_ROWS)}) c(candidate_id, longitudinal_profile, lateral_profile, action_family, accel, lat_offset, lat_duration, action_cost)),
-l0 as (select sample_id, cand.*, k::int as k, k * {DT}::double as t, x as x0, y as y0, heading as h0, length, width, greatest(0, sqrt(vx ** 2 + vy ** 2) + accel * k * {DT}) as v, least(1, k * {DT}::double / lat_duration) as u from agents, cand, range(7) g(k) where is_ego),
-l1 as (select *, coalesce(sum(case when k > 0 then 0.5 * (pv + v) * {DT} else 0 end) over (partition by sample_id, candidate_id order by k), 0) as s, lat_offset * u * u * (3 - 2 * u) as lat
+def lattice_sql(rows=LAT_ROWS, n: int = 7, dt: float = DT) -> str:
+    return f"""cand as (select * from (values {values_sql(rows)}) c(candidate_id, longitudinal_profile, lateral_profile, action_family, accel, lat_offset, lat_duration, action_cost)),
+l0 as (select sample_id, cand.*, k::int as k, k * {dt}::double as t, x as x0, y as y0, heading as h0, length, width, greatest(0, sqrt(vx ** 2 + vy ** 2) + accel * k * {dt}) as v, least(1, k * {dt}::double / lat_duration) as u from agents, cand, range({n}) g(k) where is_ego),
+l1 as (select *, coalesce(sum(case when k > 0 then 0.5 * (pv + v) * {dt} else 0 end) over (partition by sample_id, candidate_id order by k), 0) as s, lat_offset * u * u * (3 - 2 * u) as lat
   from (select *, lag(v) over (partition by sample_id, candidate_id order by k) as pv from l0)),
 l2 as (select *, x0 + s * cos(h0) - lat * sin(h0) as x, y0 + s * sin(h0) + lat * cos(h0) as y from l1),
 l3 as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from l2 window w as (partition by sample_id, candidate_id order by k)),
-l4 as (select *, case when sqrt(dx * dx + dy * dy) > 1e-8 then atan2(dy, dx) end as dir, sqrt(dx * dx + dy * dy) / {DT} as sv from l3),
+l4 as (select *, case when sqrt(dx * dx + dy * dy) > 1e-8 then atan2(dy, dx) end as dir, sqrt(dx * dx + dy * dy) / {dt} as sv from l3),
 l5 as (select *, case when k = 0 then coalesce(lead(dir) over w, h0) else coalesce(last_value(dir ignore nulls) over w, h0) end as heading, case when k = 0 then lead(sv) over w else sv end as speed from l4 window w as (partition by sample_id, candidate_id order by k)),
-l6 as (select *, case when k = 0 then 0 else (speed - lag(speed) over w) / {DT} end as acceleration, case when k = 0 then 0 else {sc.wrap_sql('heading - lag(heading) over w')} / {DT} end as yaw_rate from l5 window w as (partition by sample_id, candidate_id order by k)),
+l6 as (select *, case when k = 0 then 0 else (speed - lag(speed) over w) / {dt} end as acceleration, case when k = 0 then 0 else {sc.wrap_sql('heading - lag(heading) over w')} / {dt} end as yaw_rate from l5 window w as (partition by sample_id, candidate_id order by k)),
 lat as (select *, speed * yaw_rate as lateral_accel from l6)"""
 
 
+LATTICE_SQL = lattice_sql()
+
+
 def lattice(spark, sf):
     agents, _ = sc.samples(spark, sf)
     return ac.rollout_lattice(ac.ego_rows(agents), ac.lattice_candidates(spark), P.horizon_s, DT)
@@ -330,10 +334,14 @@ def ac4(spark, sf):
         "action_cost", rcol(F.col("action_cost")))
 
 
-KIN_SQL = f"""kin as (select sample_id, candidate_id, longitudinal_profile, lateral_profile, action_family, action_cost, max(t) as last_t, bool_or(accel > {P.max_comfort_accel} + 1e-9 or accel < case when action_family = 'comfort' then {P.max_comfort_decel} else {P.max_emergency_decel} end - 1e-9) as cmd,
+def kin_sql(p=P) -> str:
+    return f"""kin as (select sample_id, candidate_id, longitudinal_profile, lateral_profile, action_family, action_cost, max(t) as last_t, bool_or(accel > {p.max_comfort_accel} + 1e-9 or accel < case when action_family = 'comfort' then {p.max_comfort_decel} else {p.max_emergency_decel} end - 1e-9) as cmd,
   bool_or(abs(yaw_rate) > 1.2 or abs(lateral_accel) > 4.5) as mot, max(abs(acceleration)) as max_abs_accel_mps2, max(abs(yaw_rate)) as max_abs_yaw_rate_rad_s, max(abs(lateral_accel)) as max_lateral_accel_mps2, arg_max(s, k) as progress_m from lat group by all)"""
 
 
+KIN_SQL = kin_sql()
+
+
 @query("AC12_kinematic_violation", f"""
 with {SAMPLES_SQL}, {LATTICE_SQL}, {KIN_SQL} select sample_id, candidate_id, cmd as command_violation, mot as motion_violation, cmd or mot as kinematic_flag, {r('max_abs_accel_mps2', 5)} as max_abs_accel_mps2,
   {r('max_abs_yaw_rate_rad_s', 5)} as max_abs_yaw_rate_rad_s, {r('max_lateral_accel_mps2', 5)} as max_lateral_accel_mps2, {r('progress_m', 5)} as progress_m from kin""")
@@ -341,17 +349,21 @@ def ac12(spark, sf):
     return rounded(ac.kinematic_violation(lattice(spark, sf), P).drop("kinematic_t"), 5)
 
 
-EVAL_SQL = f"""ohit as (select p.sample_id, p.candidate_id, p.k, p.t, min(o.agent_id) as agent from lat p join (select * from obs where valid union all select sample_id, agent_id, 0, x, y, heading, length, width, true from agents where not is_ego) o
+def eval_sql(p=P, obstacles: str = "select * from obs where valid union all select sample_id, agent_id, 0, x, y, heading, length, width, true from agents where not is_ego") -> str:
+    return f"""ohit as (select p.sample_id, p.candidate_id, p.k, p.t, min(o.agent_id) as agent from lat p join ({obstacles}) o
   on p.sample_id = o.sample_id and p.k = o.k and {overlap_sql('p', 'o', P.safety_buffer_m)} group by 1, 2, 3, 4),
-oc as (select sample_id, candidate_id, min({{'t': t, 'a': agent}}) filter (t >= {P.ignore_initial_s}) as h, count(distinct agent) filter (t < {P.ignore_initial_s}) as init from ohit group by 1, 2),
+oc as (select sample_id, candidate_id, min({{'t': t, 'a': agent}}) filter (t >= {p.ignore_initial_s}) as h, count(distinct agent) filter (t < {p.ignore_initial_s}) as init from ohit group by 1, 2),
 ll as (select p.sample_id, p.candidate_id, p.t, sqrt(min({gap2_sql('p')})) as g from lat p join seg s on p.sample_id = s.sample_id group by 1, 2, 3),
-lo as (select sample_id, candidate_id, min(t) as lt from ll where not coalesce(g <= {P.lane_buffer_m}, false) group by 1, 2),
-ev as (select kin.*, h.t as ct, h.a as agent, coalesce(init, 0) as init, lt, progress_m < {P.min_progress_m} and longitudinal_profile != 'hard_brake' as slow, cmd or mot as kf from kin left join oc using (sample_id, candidate_id) left join lo using (sample_id, candidate_id)),
+lo as (select sample_id, candidate_id, min(t) as lt from ll where not coalesce(g <= {p.lane_buffer_m}, false) group by 1, 2),
+ev as (select kin.*, h.t as ct, h.a as agent, coalesce(init, 0) as init, lt, progress_m < {p.min_progress_m} and longitudinal_profile != 'hard_brake' as slow, cmd or mot as kf from kin left join oc using (sample_id, candidate_id) left join lo using (sample_id, candidate_id)),
 cd as (select sample_id, candidate_id, longitudinal_profile, lateral_profile, action_cost, ct is null and lt is null and not slow and not kf as feasible, least(ct, lt, case when cmd then 0 end, case when slow then last_t end) as first_failure_time_s,
   case when ct is not null then 'collision' when lt is not null then 'lane_buffer' when slow then 'progress' when kf then 'kinematic' else 'no_failure' end as failure_reason, ct is not null as collision_flag, lt is not null as lane_buffer_flag, slow as progress_flag, kf as kinematic_flag,
   agent as blocking_agent_id, init as initial_overlap_count from ev)"""
 
 
+EVAL_SQL = eval_sql()
+
+
 def candidates(spark, sf):
     agents, states, lanes = sc.stored(spark, sf)
     obs = ac.obstacle_pose(agents, states, "oracle_future", 6, DT, start=0)
@@ -366,6 +378,26 @@ def ac13(spark, sf):
                                         "blocking_agent_id", "initial_overlap_count")
 
 
+# The published setting: 130 candidates, 31 steps of 0.1 s, obstacles at constant velocity.
+FULL = ac.PlannerParams(horizon_s=3.0, dt=0.1, lane_buffer_m=4.0)
+FULL_ROWS = [(i * 13 + j, lo[0], la[0], "emergency" if lo[3] or la[4] else "comfort", lo[1], la[1], la[2], lo[2] + la[3])
+             for i, lo in enumerate(ac.LATTICE_LON["lattice_extended"]) for j, la in enumerate(ac.LATTICE_LAT["lattice_extended"])]
+CV_SQL = f"""select sample_id, agent_id, k::int as k, x + vx * k * {FULL.dt}::double as x, y + vy * k * {FULL.dt}::double as y,
+  case when sqrt(vx ** 2 + vy ** 2) > 0.2 then atan2(vy, vx) else heading end as heading, length, width from agents, range(31) t(k) where not is_ego"""
+
+
+@query("AC13_full_lattice", f"""
+with {SAMPLES_SQL}, {LANES_SQL}, {lattice_sql(FULL_ROWS, 31, FULL.dt)}, {kin_sql(FULL)}, {eval_sql(FULL, CV_SQL)} select sample_id, candidate_id, feasible, {r('first_failure_time_s::double', 3)} as first_failure_time_s, failure_reason,
+  collision_flag, lane_buffer_flag, progress_flag, kinematic_flag, blocking_agent_id, initial_overlap_count from cd""")
+def full_lattice(spark, sf):
+    agents, _, lanes = sc.stored(spark, sf)
+    obs = ac.obstacle_pose(agents, agents, "cv_current", 30, FULL.dt, start=0)
+    roll = ac.rollout_lattice(ac.ego_rows(agents), ac.lattice_candidates(spark, "lattice_extended"), FULL.horizon_s, FULL.dt)
+    return ac.evaluate_candidates(roll, obs, lanes, FULL).select(
+        "sample_id", "candidate_id", "feasible", rcol(F.col("first_failure_time_s"), 3).alias("first_failure_time_s"), "failure_reason", "collision_flag", "lane_buffer_flag", "progress_flag",
+        "kinematic_flag", "blocking_agent_id", "initial_overlap_count")
+
+
 @query("AC_planner_chain", f"""
 with {SAMPLES_SQL}, {LANES_SQL}, {OBS_SQL}, {LATTICE_SQL}, {KIN_SQL}, {EVAL_SQL},
 f as (select sample_id, count(*) as n, sum(feasible::int)::bigint as ok, bool_or(collision_flag) as c, bool_or(lane_buffer_flag) as l, bool_or(kinematic_flag) as k, min({{'cost': action_cost, 'id': candidate_id, 'n': longitudinal_profile || '+' || lateral_profile}}) filter (feasible) as b from cd group by 1)

@@ -51,6 +51,8 @@ LATTICE_LAT = {
 }
 MAX_YAW_RATE, MAX_LATERAL_ACCEL = 1.20, 4.50
 SPEED_FLOOR = 0.2
+#: Steps of a block of the broad phase.
+BLOCK_STEPS = 8
 
 
 @dataclass(frozen=True)
@@ -99,14 +101,12 @@ def action_library(spark: SparkSession, name: str) -> DataFrame:
 
 
 def lattice_candidates(spark: SparkSession, family: str = "lattice_base") -> DataFrame:
-    lon = spark.createDataFrame([(i, *r) for i, r in enumerate(LATTICE_LON[family])], "i int, longitudinal_profile string, accel double, lon_cost double, lon_em boolean")
-    lat = spark.createDataFrame([(i, *r) for i, r in enumerate(LATTICE_LAT[family])],
-                                "j int, lateral_profile string, lat_offset double, lat_duration double, lat_cost double, lat_em boolean")
-    n_lat = len(LATTICE_LAT[family])
-    return lon.crossJoin(lat).select(
-        F.lit(family).alias("planner_family"), (F.col("i") * n_lat + F.col("j")).alias("candidate_id"), "longitudinal_profile", "lateral_profile",
-        F.when(F.col("lon_em") | F.col("lat_em"), "emergency").otherwise("comfort").alias("action_family"), "accel", "lat_offset", "lat_duration",
-        (F.col("lon_cost") + F.col("lat_cost")).alias("action_cost"))
+    """The grid as one local table: 35 or 130 candidates."""
+    lat = LATTICE_LAT[family]
+    rows = [(family, i * len(lat) + j, lon, name, "emergency" if lon_em or lat_em else "comfort", accel, offset, duration, lon_cost + lat_cost)
+            for i, (lon, accel, lon_cost, lon_em) in enumerate(LATTICE_LON[family]) for j, (name, offset, duration, lat_cost, lat_em) in enumerate(lat)]
+    return spark.createDataFrame(rows, "planner_family string, candidate_id int, longitudinal_profile string, lateral_profile string, action_family string, accel double, "
+                                       "lat_offset double, lat_duration double, action_cost double")
 
 
 def _travel_heading() -> Column:
@@ -242,6 +242,47 @@ def overlap_hits(rollout: DataFrame, obstacles: DataFrame, keys: Sequence[str],
     return pairs.groupBy(*keys, *extra, "k", "t").agg(F.min(F.struct("agent_id", dist.alias("distance"))).alias("first"))
 
 
+def _swept(poses: DataFrame, keys: Sequence[str], grow: float = 0.0) -> DataFrame:
+    """Blocks of ``BLOCK_STEPS`` steps: the bounds ``x0`` … ``y1`` that the boxes sweep, and the block's poses."""
+    hl, hw = F.col("length") * 0.5 + grow, F.col("width") * 0.5 + grow
+    r = F.sqrt(hl * hl + hw * hw) + 1e-6
+    times = ["t"] if "t" in poses.columns else []
+    return poses.withColumns({"kb": F.floor(F.col("k") / BLOCK_STEPS), "_r": r}).groupBy(*keys, "kb").agg(
+        F.min(F.col("x") - F.col("_r")).alias("x0"), F.max(F.col("x") + F.col("_r")).alias("x1"), F.min(F.col("y") - F.col("_r")).alias("y0"), F.max(F.col("y") + F.col("_r")).alias("y1"),
+        F.collect_list(F.struct("k", *times, "x", "y", "heading", "length", "width")).alias("poses"))
+
+
+def _meet(a: str, b: str) -> Column:
+    return (F.col(f"{a}.x0") <= F.col(f"{b}.x1")) & (F.col(f"{b}.x0") <= F.col(f"{a}.x1")) & (F.col(f"{a}.y0") <= F.col(f"{b}.y1")) & (F.col(f"{b}.y0") <= F.col(f"{a}.y1"))
+
+
+def meeting_blocks(rollout: DataFrame, obstacles: DataFrame, keys: Sequence[str], grow: float = 0.0) -> DataFrame:
+    """Broad phase in space and time: blocks of a rollout and of an obstacle whose swept bounds meet, with the poses of both (``mine``, ``theirs``).
+
+    An obstacle's block has to meet the bounds of all rollouts of its sample first, then those of a rollout. No poses are paired here.
+    """
+    ego, other = _swept(rollout, keys, grow), _swept(obstacles, ["sample_id", "agent_id"])
+    whole = ego.groupBy("sample_id", "kb").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    near = other.alias("o").join(whole.alias("w"), ["sample_id", "kb"]).filter(_meet("o", "w")).select("sample_id", "kb", "o.agent_id", "o.x0", "o.x1", "o.y0", "o.y1", "o.poses")
+    pairs = ego.alias("e").join(near.alias("n"), ["sample_id", "kb"]).filter(_meet("e", "n"))
+    return pairs.select(*[f"e.{c}" if c != "sample_id" else c for c in keys], "kb", "n.agent_id", F.col("e.poses").alias("mine"), F.col("n.poses").alias("theirs"))
+
+
+def overlap_hits_in_blocks(rollout: DataFrame, obstacles: DataFrame, keys: Sequence[str], grow: float = 0.0) -> DataFrame:
+    """The rows of ``overlap_hits`` by way of the broad phase: for fine steps and many candidates, where a candidate stays clear of most agents most of the time."""
+    pairs = meeting_blocks(rollout, obstacles, keys, grow).withColumn("m", F.explode("mine"))
+    steps = pairs.select(*keys, "agent_id", "m", F.explode(F.filter("theirs", lambda o: o["k"] == F.col("m.k"))).alias("o"))
+    part = lambda s, p: [F.col(f"{s}.{c}").alias(f"{p}{c}") for c in ("x", "y", "heading", "length", "width")]
+    flat = steps.select(*keys, "agent_id", "m.k", "m.t", *part("m", "_m"), *part("o", "_o"))
+    flat = geo.with_box(flat, "e", *[f"_m{c}" for c in ("x", "y", "heading", "length", "width")], grow=grow)
+    flat = geo.with_box(flat, "", *[f"_o{c}" for c in ("x", "y", "heading", "length", "width")])
+    ego, other = geo.box("e"), geo.box("")
+    dx, dy = other.x - ego.x, other.y - ego.y
+    reach = geo.radius(ego) + geo.radius(other) + 1e-6
+    hits = flat.filter(dx * dx + dy * dy <= reach * reach).filter(geo.obb_overlap(ego, other))
+    return hits.groupBy(*keys, "k", "t").agg(F.min(F.struct("agent_id", F.sqrt(dx * dx + dy * dy).alias("distance"))).alias("first"))
+
+
 def first_failure(rollout: DataFrame, obstacles: DataFrame, lanes: DataFrame | None, buffer: float, keys: Sequence[str]) -> DataFrame:
     """Earliest off-lane or overlap time per action; null means feasible."""
     acts = rollout.select(*keys, "comfort", "cost", "horizon_s").distinct()
@@ -373,7 +414,7 @@ def evaluate_candidates(rollout: DataFrame, obstacles: DataFrame, lanes: DataFra
     info = ["longitudinal_profile", "lateral_profile", "action_family", "action_cost"]
     motion = kinematic_violation(rollout, p)
     facts = rollout.groupBy(*keys, *info).agg(F.max("t").alias("last_t"))
-    hits = overlap_hits(rollout, obstacles, keys, grow=p.safety_buffer_m)
+    hits = overlap_hits_in_blocks(rollout, obstacles, keys, grow=p.safety_buffer_m)
     early = F.col("t") < p.ignore_initial_s
     coll = hits.groupBy(*keys).agg(
         F.min(F.when(~early, F.struct("t", F.col("first.agent_id").alias("agent")))).alias("hit"),

@@ -1,9 +1,8 @@
 """Matched comparisons: nearest neighbour, caliper (range) and exact-bin matching, and their evaluation.
 
 With one covariate the nearest partner is the next smaller or the next larger one: two running passes over sorted buckets, no pairs.
-With more, nearest partners are looked for in grid cells that start narrow and widen. A partner found within the cell width is the
-nearest one, because anything outside the neighbouring cells is farther in at least one covariate; only rows without such a
-partner go on to wider cells. Equal covariate vectors are matched once; different vectors in one narrow cell do meet in pairs.
+With more, nearest partners are looked for in a k-d tree (``boxtree``): a positive meets only the partners in boxes that are no farther than the
+best one found so far. Equal covariate vectors are matched once.
 """
 
 from __future__ import annotations
@@ -15,11 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feaslens.functions.columns import num, unit_hash
-from feaslens.operators import metrics, ordered
+from feaslens.operators import boxtree, metrics, ordered
 from feaslens.session import checkpointed
 
-GRID_DIMS = 3
-
 
 @dataclass(frozen=True)
 class Setting:
@@ -49,70 +46,27 @@ def ttc_allowed(rule: str, ttc: Column) -> Column:
     return {"": F.lit(True), "finite": ttc >= 0, "none": ttc < 0, "large_or_none": (ttc < 0) | (ttc > 3.0)}[rule]
 
 
-def _nearest(points: DataFrame, partners: DataFrame, dims: int, width: float, limit: float | None) -> DataFrame:
-    """Best partner in the neighbouring cells of ``width``. Both sides have vectors ``v`` in scaled units."""
-    use = min(dims, GRID_DIMS)
-    cell = lambda v, i: F.floor(v[i] / width).cast("bigint")
-    near = F.explode(_offsets(use)).alias("_o")
-    left = points.select("*", near).select(
-        "pid", "v", *[(cell(F.col("v"), i) + F.col("_o")[i]).alias(f"c{i}") for i in range(use)])
-    right = partners.select(F.col("v").alias("w"), F.col("nid"), *[cell(F.col("v"), i).alias(f"c{i}") for i in range(use)])
-    gaps = [F.col("w")[i] - F.col("v")[i] for i in range(dims)]
-    d2 = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
-    pairs = left.join(right, [f"c{i}" for i in range(use)])
-    if limit is not None:
-        for g in gaps:
-            pairs = pairs.filter(F.abs(g) <= limit)
-    best = F.min(F.struct(d2.alias("d2"), F.col("nid").alias("nid")))
-    return pairs.groupBy("pid").agg(best.alias("best"))
-
-
-def _offsets(dims: int) -> Column:
-    rows: list[tuple[int, ...]] = [()]
-    for _ in range(dims):
-        rows = [(*r, d) for r in rows for d in (-1, 0, 1)]
-    return F.array(*[F.array(*[F.lit(d) for d in r]) for r in rows])
-
-
-def _search(points: DataFrame, partners: DataFrame, dims: int, widths: Sequence[float], limit: float | None) -> DataFrame:
-    """Widening search over fixed widths; at the last width whatever was found counts."""
-    pending, found = points, None
-    for i, width in enumerate(widths):
-        best = _nearest(pending, partners, dims, width, limit)
-        last = i == len(widths) - 1
-        done = best if last else best.filter(F.sqrt(F.col("best.d2")) <= width)
-        found = done if found is None else found.unionByName(done)
-        if not last:
-            pending = pending.join(done, "pid", "left_anti")
-    return found
-
-
-def caliper_match(df: DataFrame, id_col: str, y: str, setting: Setting, ttc: str = T, fine: Sequence[float] = (0.125,)) -> DataFrame:
-    """Each positive with its nearest negative (scaled by the calipers) inside all calipers; ties go to the smaller id.
-
-    In scaled units every caliper is 1, so cells of width 1 hold every admissible partner. ``fine`` lists narrower
-    widths that are tried first.
-    """
+def caliper_match(df: DataFrame, id_col: str, y: str, setting: Setting, ttc: str = T) -> DataFrame:
+    """Each positive with its nearest negative (scaled by the calipers, so that every caliper is 1) inside all calipers; ties go to the smaller id."""
     cols = [c for c, _ in setting.calipers]
     allowed = ttc_allowed(setting.ttc_rule, num(ttc)) if setting.ttc_rule else F.lit(True)
     work = df.filter(allowed).select(
         F.col(id_col).alias("id"), num(y).cast("int").alias("y"),
         F.array(*[num(c) / max(w, 1e-9) for c, w in setting.calipers]).alias("v")).filter(
         ~F.exists("v", lambda x: x.isNull()) & F.col("y").isNotNull())
-    pairs = _match(work, len(cols), [*fine, 1.0], 1.0)
+    pairs = _match(work, len(cols), 1.0)
     return pairs.select(F.lit(setting.name).alias("setting_name"), F.lit(setting.family).alias("family"), "pos_id", "neg_id",
                         "match_distance_z")
 
 
-def _match(work: DataFrame, dims: int, widths: Sequence[float], limit: float | None) -> DataFrame:
+def _match(work: DataFrame, dims: int, limit: float | None) -> DataFrame:
     """Matches distinct covariate vectors and hands the partner to every positive that has the vector."""
     if dims == 1:
         return _match_line(work, limit)
     positives = work.filter("y = 1")
-    vectors = positives.select("v").distinct().withColumn("pid", F.col("v"))
     partners = work.filter("y = 0").groupBy("v").agg(F.min("id").alias("nid"))
-    found = _search(vectors, partners, dims, widths, limit)
-    joined = positives.join(found.withColumnRenamed("pid", "v"), "v")
+    found = boxtree.nearest(positives.select("v").distinct(), partners, dims, limit).filter("best is not null")
+    joined = positives.join(found, "v")
     return joined.select(F.col("id").alias("pos_id"), F.col("best.nid").alias("neg_id"), F.sqrt("best.d2").alias("match_distance_z"))
 
 
@@ -133,34 +87,16 @@ def _match_line(work: DataFrame, limit: float | None) -> DataFrame:
     return joined.select(F.col("id").alias("pos_id"), F.col("best.nid").alias("neg_id"), F.sqrt("best.d2").alias("match_distance_z"))
 
 
-def nn_match(df: DataFrame, id_col: str, y: str, cols: Sequence[str], first_width: float = 0.125) -> DataFrame:
-    """Each positive with its nearest negative over z-scored covariates (population deviation, medians for nulls).
-
-    The width doubles until every positive has a partner; the number of rounds is logarithmic in the range of the data.
-    """
+def nn_match(df: DataFrame, id_col: str, y: str, cols: Sequence[str]) -> DataFrame:
+    """Each positive with its nearest negative over z-scored covariates (population deviation, medians for nulls); none to match with is an error."""
     from feaslens.functions.frames import median_fill
     clean = median_fill(df.select(F.col(id_col).alias("id"), num(y).cast("int").alias("y"), *cols), cols)
     stats = clean.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
     z = F.array(*[(F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(F.lit(1.0)) for c in cols])
     work = checkpointed(clean.filter("y is not null").crossJoin(F.broadcast(stats)).select("id", "y", z.alias("v")))
-    if len(cols) == 1:
-        return _match_line(work, None)
-    positives = work.filter("y = 1")
-    partners = work.filter("y = 0").groupBy("v").agg(F.min("id").alias("nid"))
-    if partners.isEmpty():
+    if work.filter("y = 0").isEmpty() and not work.isEmpty():
         raise ValueError("no negatives to match with")
-    pending = positives.select("v").distinct().withColumn("pid", F.col("v"))
-    found, width = None, first_width
-    while True:
-        best = _nearest(pending, partners, len(cols), width, None)
-        done = checkpointed(best.filter(F.sqrt(F.col("best.d2")) <= width))
-        found = done if found is None else found.unionByName(done)
-        pending = checkpointed(pending.join(done, "pid", "left_anti"))
-        if pending.isEmpty():
-            break
-        width *= 2.0
-    joined = positives.join(found.withColumnRenamed("pid", "v"), "v")
-    return joined.select(F.col("id").alias("pos_id"), F.col("best.nid").alias("neg_id"), F.sqrt("best.d2").alias("match_distance_z"))
+    return _match(work, len(cols), None)
 
 
 def relaxed_bin(distance, ttc, speed, agents, d_bin=3.0, t_bin=2.0, s_bin=10.0, a_bin=10.0) -> Column:

@@ -36,7 +36,7 @@ def test_matching_in_one_hot_cell(spark):
     df = spark.createDataFrame([(i, int(y[i]), float(x[i]), float(z[i])) for i in range(n)], "id int, y int, a double, b double")
     pts = np.c_[x, z]
     setting = matching.Setting("t", "t", (("a", 0.5), ("b", 1.0)))
-    got = {r.pos_id: r.neg_id for r in matching.caliper_match(df, "id", "y", setting, fine=(0.01, 0.1)).collect()}
+    got = {r.pos_id: r.neg_id for r in matching.caliper_match(df, "id", "y", setting).collect()}
     neg = np.flatnonzero(y == 0)
     scale = np.array([0.5, 1.0])
     want = {}
