@@ -414,7 +414,9 @@ def evaluate_candidates(rollout: DataFrame, obstacles: DataFrame, lanes: DataFra
     info = ["longitudinal_profile", "lateral_profile", "action_family", "action_cost"]
     motion = kinematic_violation(rollout, p)
     facts = rollout.groupBy(*keys, *info).agg(F.max("t").alias("last_t"))
-    hits = overlap_hits_in_blocks(rollout, obstacles, keys, grow=p.safety_buffer_m)
+    # Steps that fit one block have no blocks to rule out.
+    overlaps = overlap_hits if p.steps < BLOCK_STEPS else overlap_hits_in_blocks
+    hits = overlaps(rollout, obstacles, keys, grow=p.safety_buffer_m)
     early = F.col("t") < p.ignore_initial_s
     coll = hits.groupBy(*keys).agg(
         F.min(F.when(~early, F.struct("t", F.col("first.agent_id").alias("agent")))).alias("hit"),
