@@ -176,13 +176,41 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
     write_table(df, path, mode=mode, partition_by=("endpoint", "feature_set"))
 
 
+#: A fingerprint is eight sums modulo 2^32, one for each 32 bits of a row's SHA-256.
+LANES = 8
+LANE = 1 << 32
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row: columns in the order of their names, each value as text behind its length, nulls apart from every text."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    parts = [F.coalesce(F.concat(F.lit("v"), F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("n")) for c in sorted(df.columns)]
+    return F.sha2(F.concat(*parts).cast("binary"), 256)
+
+
+def _fingerprint_row(sums: DataFrame) -> DataFrame:
+    lanes = [F.pmod(F.coalesce(F.col(f"_l{i}"), F.lit(0).cast("decimal(38,0)")), F.lit(LANE).cast("decimal(38,0)")).cast("bigint") for i in range(LANES)]
+    return sums.select("columns", "row_count", F.array(*lanes).alias("lanes"), F.concat(*[F.lpad(F.lower(F.hex(x)), 8, "0") for x in lanes]).alias("hash"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count, order-insensitive content hash and schema text; equal for reruns that agree."""
-    cols = sorted(df.columns)
-    h = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅")) for c in cols])
-    return df.select(h.alias("h")).agg(
-        F.count("*").alias("row_count"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor")).withColumn("columns", F.lit(",".join(cols)))
+    """``columns``, ``row_count``, ``lanes`` and ``hash`` of a table's rows, whatever their order: equal for reruns that agree.
+
+    The hash is a sum over rows, so fingerprints of row sets add and subtract (``combined``), and a table's need not be taken anew when rows come or
+    go. Repeated rows count each time; an empty table has the hash 0.
+    """
+    lane = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
+    sums = df.select(row_digest(df).alias("h")).agg(F.count("*").alias("row_count"), *[F.sum(lane(i)).alias(f"_l{i}") for i in range(LANES)])
+    return _fingerprint_row(sums.withColumn("columns", F.lit(",".join(sorted(df.columns)))))
+
+
+def combined(added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """The fingerprint of all rows of the ``added`` fingerprints without those of the ``removed`` ones, per set of columns."""
+    rows = added.withColumn("_sign", F.lit(1))
+    if removed is not None:
+        rows = rows.unionByName(removed.withColumn("_sign", F.lit(-1)))
+    lane = lambda i: F.sum(F.col("_sign") * F.col("lanes")[i].cast("decimal(20,0)"))
+    return _fingerprint_row(rows.groupBy("columns").agg(F.sum(F.col("_sign") * F.col("row_count")).alias("row_count"), *[lane(i).cast("decimal(38,0)").alias(f"_l{i}") for i in range(LANES)]))
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

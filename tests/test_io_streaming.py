@@ -52,6 +52,12 @@ def test_sink_resume_fingerprint(spark, tmp_path):
     assert back.count() == 100
     assert io.fingerprint(back).first() == io.fingerprint(df.repartition(7)).first()
     assert io.fingerprint(df.filter("id != 5")).first() != io.fingerprint(df).first()
+    some, rest, whole = (io.fingerprint(d) for d in (df.filter("id <= 5"), df.filter("id > 5"), df))
+    assert io.combined(some.unionByName(rest)).first() == whole.first() and io.combined(whole, rest).first() == some.first()
+    assert io.fingerprint(df.unionByName(df)).first().hash != whole.first().hash  # a repeated row counts
+    assert set(io.fingerprint(df.limit(0)).first().hash) == {"0"}
+    pair = lambda a, b: io.fingerprint(spark.createDataFrame([(a, b)], "x string, y string")).first().hash
+    assert len({pair("a", None), pair(None, "a"), pair("an", None), pair("a", ""), pair("", "a"), pair("n", "")}) == 6
     with pytest.raises(FileNotFoundError):
         io.read_table(spark, str(tmp_path / "gone.parquet"))
     preds = spark.createDataFrame([("e1", "f1", 0.5), ("e2", "f1", 0.1)], "endpoint string, feature_set string, score double")
