@@ -151,6 +151,35 @@ def j11(spark, sf):
     return rounded(out.withColumns({c: F.bround(c, 4) for c in ("mean_lead_time_s", "median_lead_time_s")}))
 
 
+# Two scores; thresholds from 35 % of the scenarios, lead times on the others.
+HELD_SQL = f"""{ONSET_SQL}, keys as (select scenario_id, row_number() over (order by {hash_sql("'42|' || scenario_id")}, scenario_id) <= greatest(1, round_even(count(*) over () * 0.35, 0)) as cal from (select distinct scenario_id from fr)),
+lg as (select fr.scenario_id, t, fr.y, cal, s.score_name, s.score from fr join keys using (scenario_id), lateral (values ('value', fr.score), ('minute', (event_id * 37 % 1009)::double)) s(score_name, score)),
+th as (select score_name, unnest([0.01, 0.05])::double as target_fpr, unnest([quantile_cont(score, 0.99) filter (y = 0), quantile_cont(score, 0.95) filter (y = 0)]) as threshold from lg where cal group by score_name),
+ld as (select lg.scenario_id, score_name, target_fpr, threshold, has_valid_onset, event_time_s, pre_event_duration_s, has_any_event,
+  min(t) filter (score >= threshold and t < event_time_s) as first_alert, bool_or(score >= threshold) as any_alert from lg join onset using (scenario_id) join th using (score_name) where not cal group by all)"""
+
+
+def held_out_leads(spark, sf):
+    f = frames(spark, sf).withColumn("value", F.col("score")).withColumn("minute", (F.col("event_id") * 37 % 1009).cast("double"))
+    return lt.calibrated_lead_time(f, onsets(spark, sf), "scenario_id", "t", "y", ["value", "minute"])
+
+
+@query("J10_lead_time_held_out", f"""
+with {HELD_SQL} select scenario_id, score_name, target_fpr, {r('threshold')} as threshold, has_any_event as has_event, has_valid_onset, {r('event_time_s')} as event_time_s, {r('pre_event_duration_s')} as pre_event_duration_s,
+  {r('first_alert')} as first_pre_event_alert_time_s, {r('event_time_s - first_alert')} as lead_time_s, has_valid_onset and first_alert is null as missed_event, not has_any_event and any_alert as false_alert_non_event from ld""")
+def j10_held_out(spark, sf):
+    return rounded(held_out_leads(spark, sf))
+
+
+@query("J11_lead_time_summary_held_out", f"""
+with {HELD_SQL} select score_name, target_fpr, sum(has_valid_onset::int)::bigint as n_event_scenarios, sum((has_any_event and not has_valid_onset)::int)::bigint as n_invalid_event_scenarios,
+  sum((not has_any_event)::int)::bigint as n_non_event_scenarios, {r('avg(event_time_s - first_alert)', 4)} as mean_lead_time_s, {r('avg(case when has_valid_onset then (first_alert is null)::int end)')} as missed_event_rate,
+  {r('avg(case when not has_any_event then any_alert::int end)')} as false_alert_non_event_rate, {r('median(event_time_s - first_alert)', 4)} as median_lead_time_s from ld group by 1, 2""")
+def j11_held_out(spark, sf):
+    out = lt.lead_time_summary(held_out_leads(spark, sf), ["score_name", "target_fpr"])
+    return rounded(out.withColumns({c: F.bround(c, 4) for c in ("mean_lead_time_s", "median_lead_time_s")}))
+
+
 @query("J12_align_to_event", f"""
 with {ONSET_SQL} select scenario_id, {r('t - event_time_s')} as time_to_event_s, score, y from fr join onset using (scenario_id)
 where has_valid_onset and t - event_time_s between -7200 and 1800""")

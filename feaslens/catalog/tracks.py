@@ -364,8 +364,8 @@ cd as (select sample_id, candidate_id, longitudinal_profile, lateral_profile, ac
 EVAL_SQL = eval_sql()
 
 
-def candidates(spark, sf):
-    agents, states, lanes = sc.stored(spark, sf)
+def candidates(spark, sf, scenes=None):
+    agents, states, lanes = scenes or sc.stored(spark, sf)
     obs = ac.obstacle_pose(agents, states, "oracle_future", 6, DT, start=0)
     roll = ac.rollout_lattice(ac.ego_rows(agents), ac.lattice_candidates(spark), P.horizon_s, DT)
     return ac.evaluate_candidates(roll, obs, lanes, P)
@@ -405,6 +405,8 @@ select sample_id, (ok > 0)::int as planner_success, ok as feasible_candidate_cou
   case when ok > 0 then 'no_failure:feasible_trajectory_exists' when c and l and k then 'known_failure:collision_road_boundary_and_kinematic' when c and l then 'known_failure:collision_and_road_boundary' when c and k then 'known_failure:collision_and_kinematic'
     when l and k then 'known_failure:road_boundary_and_kinematic' when c then 'known_failure:collision_only' when l then 'known_failure:road_boundary_only' when k then 'known_failure:kinematic_only' else 'unknown_failure:all_invalid_unattributed' end as failure_subtype from f""")
 def chain(spark, sf):
-    cand = checkpointed(candidates(spark, sf))
-    lab = lb.planner_labels(cand).drop("initial_overlap_count").join(lb.candidate_flags(cand), "sample_id")
+    scenes = sc.stored(spark, sf)
+    cand = checkpointed(candidates(spark, sf, scenes))
+    every = scenes[0].filter("is_ego").select("sample_id")
+    lab = lb.planner_labels(cand, samples=every).drop("initial_overlap_count").join(lb.candidate_flags(cand, samples=every), "sample_id")
     return lb.failure_taxonomy(lab).select("sample_id", "planner_success", "feasible_candidate_count", "best_action_family", "failure_taxonomy", "failure_subtype")

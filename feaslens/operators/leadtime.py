@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feaslens.functions.columns import count_string, num
-from feaslens.operators import metrics, ordered
+from feaslens.operators import metrics, ordered, splits
 from feaslens.session import checkpointed
 
 
@@ -43,7 +43,11 @@ def lead_time(df: DataFrame, onsets: DataFrame, thresholds: DataFrame, key: str,
     rows = df.select(key, num(t).alias("_t"), num(score).alias("_s")).join(onsets, key)
     names = [c for c in thresholds.columns if c != "threshold"]
     listed = thresholds.agg(F.collect_list(F.struct(*names, "threshold")).alias("_list"))  # one row
-    crossed = rows.crossJoin(F.broadcast(listed)).withColumn("_x", F.explode("_list")).select(*rows.columns, "_x.*")
+    return _leads(rows.crossJoin(F.broadcast(listed)).withColumn("_x", F.explode("_list")).select(*rows.columns, "_x.*"), key, names)
+
+
+def _leads(crossed: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """One row per key and threshold from rows (``_t``, ``_s``) that carry the onset and the threshold."""
     alert = F.col("_s") >= F.col("threshold")
     before = F.col("_t") < F.col("event_time_s")
     keys = [key, *names, "threshold", "has_valid_onset", "event_time_s", "pre_event_duration_s", "has_any_event"]
@@ -58,6 +62,24 @@ def lead_time(df: DataFrame, onsets: DataFrame, thresholds: DataFrame, key: str,
         (~F.col("has_any_event") & F.coalesce(F.col("_any"), F.lit(False))).alias("false_alert_non_event"))
 
 
+def calibrated_lead_time(df: DataFrame, onsets: DataFrame, key: str, t: str, y: str, scores: Sequence[str], rates: Sequence[float] = (0.01, 0.05),
+                         fraction: float = 0.35, seed: int = 42) -> DataFrame:
+    """Lead times of the test keys at thresholds fitted on the calibration keys, per score and rate.
+
+    Exactly ``round(keys * fraction)`` keys, in hash order, calibrate. A score without calibration negatives, or with one class there, has no threshold and no rows.
+    Each row meets the rates of its own score only.
+    """
+    marked = splits.exact_split(df, key, fraction, seed, "_cal")
+    long = marked.select(key, F.col(t).alias("_t"), F.col(y).alias("_y"), "_cal", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("score_name"), num(s).alias("_score")) for s in scores])).alias("_s")).select(key, "_t", "_y", "_cal", "_s.*")
+    fitted = metrics.fpr_threshold(long.filter("_cal"), "_y", "_score", rates, ["score_name"])
+    listed = fitted.select("score_name", F.filter(F.array(*[
+        F.struct(F.lit(float(r)).alias("target_fpr"), F.col(f"threshold_at_{metrics.level_name(r)}_fpr").alias("threshold")) for r in rates]),
+        lambda x: x["threshold"].isNotNull()).alias("_list"))
+    rows = long.filter("not _cal").join(F.broadcast(listed), "score_name").withColumn("_x", F.explode("_list"))  # a row a score
+    return _leads(rows.select(key, num("_t").alias("_t"), F.col("_score").alias("_s"), "score_name", "_x.*").join(onsets, key), key, ["score_name", "target_fpr"])
+
+
 def lead_time_summary(leads: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
     ok, non = F.col("has_valid_onset"), ~F.col("has_event")
