@@ -97,10 +97,50 @@ def value_counts_running(df: DataFrame, by: Sequence[str], value: str, buckets:
     return running(with_bucket(counts, value, buckets, source=df), by, [value], ["n"])
 
 
+ACCURACY = 10_000  # of the quantile summaries: their ranks are off by at most n / ACCURACY
+WHOLE = 100_000  # below this many values nothing is cut away
+
+
+def bracketed_counts(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """What exact quantiles need of whole columns: running counts of the values near each level, one row for each stretch between.
+
+    The first pass builds mergeable quantile summaries, a few thousand numbers a task and column, and reads two bounds around every
+    level from them, twice as far off as a summary can err. The second pass counts: values inside a bracket one by one, all others by
+    the stretch they lie in, so that of a column only some 0.04 % a level leave a task. Rows are ``_i`` (position in ``cols``), ``low``
+    and ``high`` (least and largest value of the row), ``n``, ``cum_n``, ``tot_n``. Nulls are left out, NaN is larger than all else.
+    Order buckets are the brackets and stretches themselves.
+    """
+    levels = sorted({float(q) for q in qs})
+    slack = 2.0 / ACCURACY
+    marks = [min(1.0, max(0.0, q + d)) for q in levels for d in (-slack, slack)]
+    work = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+
+    def bounds(v: Column) -> Column:
+        known = F.percentile_approx(F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v), marks, ACCURACY)
+        everything = F.array(*[F.lit(float(x)) for _ in levels for x in ("-inf", "inf")])
+        return F.when(F.count(v) < WHOLE, everything).otherwise(known)
+
+    summary = work.agg(F.array(*[bounds(F.col(f"_v{i}")) for i in range(len(cols))]).alias("_bounds"))  # one row
+    long = work.crossJoin(F.broadcast(summary)).select(
+        "_bounds", F.posexplode(F.array(*[f"_v{i}" for i in range(len(cols))])).alias("_i", "_v")).filter("_v is not null")
+    cut = F.get("_bounds", F.col("_i"))
+    pairs = [(F.get(cut, F.lit(2 * k)), F.get(cut, F.lit(2 * k + 1))) for k in range(len(levels))]
+    passed, inside = F.lit(0), F.lit(False)
+    for lo, hi in pairs:
+        passed = passed + (F.col("_v") > hi).cast("int")
+        inside = inside | F.col("_v").between(lo, hi)
+    marked = long.select("_i", "_v", (2 * passed + inside.cast("int")).alias("_b"))
+    counts = marked.groupBy("_i", "_b", F.when(F.col("_b") % 2 == 1, F.col("_v")).alias("_kept")).agg(
+        F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("*").alias("n"))
+    return running(counts, ["_i"], ["low"], ["n"])
+
+
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), buckets: int | None = None,
               names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per level (``q0``, ``q1``, … or ``names``)."""
     names = list(names or [f"q{i}" for i in range(len(qs))])
+    if not by:
+        return quantile_row(df, [value], qs).toDF(*names)
     ranked = value_counts_running(df, by, value, buckets)
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
 
@@ -133,19 +173,25 @@ def quantile_points(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     return rows.groupBy(*by, F.col("_v.i").alias("level_ix")).agg((lo + (hi - lo) * w).alias("quantile"))
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
-                     buckets: int | None = None) -> DataFrame:
-    """Quantiles of several columns in one pass: rows keyed by ``by`` and ``column``, levels in ``q0``…"""
-    long = melt(df, list(by), cols, "column", "value")
-    return quantiles(long, "value", qs, [*by, "column"], buckets)
+def quantile_row(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """One row of exact linear-interpolation quantiles named ``<col>__q<i>``; null for a column without values."""
+    ranked = bracketed_counts(df, cols, qs)
+    exact = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+        F.raise_error(F.lit("a quantile lies outside the bracket of its summary")).cast("double"))
+    at = lambda rank: F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), exact))
+    levels = []
+    for j, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("tot_n") - 1)
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        levels.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(f"q{j}"))
+    flat = ranked.groupBy("_i").agg(*levels)
+    return flat.agg(*[F.max(F.when(F.col("_i") == i, F.col(f"q{j}"))).alias(f"{c}__q{j}") for i, c in enumerate(cols) for j in range(len(qs))])
 
 
-def quantile_row(df: DataFrame, cols: Sequence[str], qs: Sequence[float], buckets: int | None = None) -> DataFrame:
-    """One row of scalars named ``<col>__q<i>``."""
-    long = column_quantiles(df, cols, qs, (), buckets)
-    return long.agg(*[
-        F.max(F.when(F.col("column") == c, F.col(f"q{i}"))).alias(f"{c}__q{i}") for c in cols for i in range(len(qs))
-    ])
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """The same as one row per column that has values: ``column`` and ``q0``, ``q1``, …"""
+    flat = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}__q{j}`").alias(f"q{j}") for j in range(len(qs))]) for c in cols])
+    return quantile_row(df, cols, qs).select(F.explode(flat).alias("_p")).select("_p.*").filter("q0 is not null")
 
 
 def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, value: str) -> DataFrame:
