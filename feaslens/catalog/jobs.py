@@ -10,6 +10,7 @@ from feaslens.catalog import scenes as sc
 from feaslens.catalog.base import query, r, read, rounded
 from feaslens.catalog.scores import FEAT_SQL, features
 from feaslens.operators import models as ml
+from feaslens.operators import splits
 from feaslens.session import shared_folder
 from feaslens.sources import tables as io
 from feaslens.streaming import alerts as al
@@ -190,9 +191,24 @@ def ml7(spark, sf):
 
 @query("ML8_permutation_importance")
 def ml8(spark, sf):
-    rows = model_rows(spark, sf).withColumn("y", F.col("label"))
-    pre, model = ml.fit(rows, COLS[:3], "rf", 42, trees=5, max_depth=5)
-    return ml.permutation_importance(rows, pre, model, "sample_id")
+    """80 trees on all columns; five shuffles a column, judged on the quarter of the scenarios that is held out."""
+    rows = splits.hash_split(model_rows(spark, sf).withColumn("y", F.col("label")), "scenario_id", 0.25, 42)
+    pre, model = ml.fit(rows.filter(~F.col("is_test")), COLS, "rf", 42)
+    return ml.permutation_importance(rows.filter("is_test"), pre, model, "sample_id")
+
+
+CELLS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("ML8_shuffled_cells", """
+with v as (select unnest([o_orderkey, o_custkey, round(o_totalprice * 100)::bigint]) as x, unnest([0, 1, 2]) as column_ix from orders)
+select column_ix, repeat::int as repeat, count(*) as cells, count(*) as places, 0::bigint as first_place, count(*) - 1 as last_place, sum(x)::bigint as total from v, range(3) t(repeat) group by 1, 2""")
+def ml8_cells(spark, sf):
+    """Each of nine shuffles of the orders moves every value to a place of its own."""
+    o = read(spark, sf, "orders").select("o_orderkey", F.array(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("x"))
+    cells = ml.shuffled_cells(ml.in_hash_order(o, "o_orderkey", 7), "x", CELLS, 7, 3)
+    once = cells.groupBy("column_ix", "repeat", "ix").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    return once.groupBy("column_ix", "repeat").agg(F.sum("n").alias("cells"), F.count("*").alias("places"), F.min("ix").alias("first_place"), F.max("ix").alias("last_place"), F.sum("s").alias("total"))
 
 
 @query("J8_residual_association")
