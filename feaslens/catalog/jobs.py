@@ -240,3 +240,24 @@ with g as (select *, coalesce(ts - lag(ts) over w >= interval 2 hour, true)::int
 select user_id as scenario_id, min(ts) as window_start, max(ts) + interval 2 hour as window_end, {r('avg(value)')} as mean_score, max(value) as max_score, sum((value >= 100)::int)::bigint as alerts, count(*) as n_frames from s group by user_id, sid""")
 def st2c(spark, sf):
     return rounded(al.risk_rollup(frames(spark, sf), "session", "2 hours", threshold=100.0))
+
+
+ONSETS = al.OnsetRule(threshold=100.0, min_pre_s=3600.0, lateness_s=10.0, expire_s=60.0)
+
+
+@query("ST1_alert_onsets", f"""
+with f as (select user_id as scenario_id, epoch_us(ts) as t, (event_type = 'purchase')::int as y, value as score from events),
+z as (select scenario_id, min(t) as t0, max(t) as last, min(case when y = 0 then t end) as zero from f group by 1),
+o as (select scenario_id, min(f.t) as onset, any_value(t0) as t0, any_value(last) as last from f join z using (scenario_id) where y = 1 and t >= zero group by 1),
+a as (select scenario_id, min(f.t) as alert from f join o using (scenario_id) where score >= {ONSETS.threshold} and (t < onset or (t = onset and y = 0)) group by 1),
+v as (select *, onset - t0 >= {ONSETS.min_pre_s} * 1e6 as valid from o left join a using (scenario_id) where last + {ONSETS.expire_s} * 1e6 < (select max(t) from f) - {ONSETS.lateness_s} * 1e6)
+select scenario_id::varchar as scenario_id, {r('onset / 1e6')} as event_time_s, case when valid then {r('alert / 1e6')} end as first_alert_time_s,
+  case when valid then {r('(onset - alert) / 1e6', 3)} end as lead_time_s, valid and alert is null as missed_event, valid from v""")
+def st1(spark, sf):
+    """The stored events as a stream that runs until nothing new is left. Users seen within the lateness and expiry of the
+    last event are still open then and come with a later run."""
+    events = read(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
+    rows = stream.select(F.col("user_id").cast("string").alias("scenario_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").cast("int").alias("y"), F.col("value").alias("score"))
+    out = al.run_available(al.alert_onsets(rows, ONSETS), f"{shared_folder(spark)}/onsets-{uuid.uuid4().hex}")
+    return out.select("scenario_id", F.bround("event_time_s", 6).alias("event_time_s"), F.bround("first_alert_time_s", 6).alias("first_alert_time_s"), F.bround("lead_time_s", 3).alias("lead_time_s"), "missed_event", "valid")

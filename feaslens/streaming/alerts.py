@@ -85,3 +85,13 @@ def risk_rollup(frames: DataFrame, kind: str, size: str, slide: str | None = Non
     agg = rows.groupBy(*keys, win.alias("w")).agg(
         F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.sum((F.col("score") >= threshold).cast("bigint")).alias("alerts"), F.count("*").alias("n_frames"))
     return agg.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean_score", "max_score", "alerts", "n_frames")
+
+
+def run_available(result: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over all that its source holds now and returns what it has written to ``folder`` so far.
+
+    A later call with the same folder goes on from the stored offsets and state; each row is written once.
+    """
+    job = result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
+    job.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{folder}/rows")
