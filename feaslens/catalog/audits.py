@@ -330,6 +330,30 @@ def au18b(spark, sf):
     return rounded(au.gates(labels, bt.paired_delta(rows, "y", "disc", "score", "scenario", cb.N)))
 
 
+GATE_SCORES, GATE_BASELINES = ("disc", "tax"), ("score", "qty")
+LONG_SCORES = "lateral (values ('score', score), ('qty', qty), ('disc', disc), ('tax', tax)) v(score_name, value)"
+
+
+@query("AU18_overlap_gates", f"""
+with {SCORED_SQL}, long as (select score_name, value as score, y from scored, {LONG_SCORES} where l_linenumber <= 5), {bundle_sql('score_name', 'long', levels=(0.05,))}
+select 'clean_start:' || a.score_name || '>' || b.score_name as gate, {r('least(a.auprc - b.auprc, a.recall_at_5pct_fpr_strict - b.recall_at_5pct_fpr_strict)')} as value, 0.0::double as "limit",
+  a.auprc > b.auprc and a.recall_at_5pct_fpr_strict > b.recall_at_5pct_fpr_strict as passed from bundle a, bundle b where a.score_name in {GATE_SCORES} and b.score_name in {GATE_BASELINES}""")
+def au18_overlap(spark, sf):
+    rows = scored_rows(spark, sf).withColumn("initial_overlap_count", F.greatest(F.col("l_linenumber") - 5, F.lit(0)))
+    clean = m.stratum_metrics(rows.filter("initial_overlap_count = 0").withColumn("all", F.lit("all")), "y", ["all"], [*GATE_SCORES, *GATE_BASELINES], (0.05,))
+    return rounded(au.overlap_gates(clean, GATE_SCORES, GATE_BASELINES))
+
+
+@query("AU18_stratum_gates", f"""
+with {SCORED_SQL}, long as (select c.stratum_column, c.stratum, score_name, value as score, y from scored, lateral (values ('l_linestatus', l_linestatus), ('l_linenumber', l_linenumber::varchar)) c(stratum_column, stratum), {LONG_SCORES}),
+{bundle_sql('stratum_column, stratum, score_name', 'long', levels=(0.05,))},
+d as (select b.score_name as baseline, greatest(a.positive_count, b.positive_count) >= 10 and a.auprc - b.auprc < -0.02 as bad from bundle a join bundle b on a.stratum_column = b.stratum_column and a.stratum = b.stratum where a.score_name = 'disc' and b.score_name in {GATE_BASELINES})
+select 'no_negative_stratum:disc>' || baseline as gate, sum(coalesce(bad, false)::int)::double as value, 0.0::double as "limit", sum(coalesce(bad, false)::int) = 0 as passed from d group by baseline""")
+def au18_strata(spark, sf):
+    strata = m.stratum_metrics(scored_rows(spark, sf), "y", ["l_linestatus", "l_linenumber"], ["disc", *GATE_BASELINES], (0.05,))
+    return rounded(au.stratum_gates(strata, "disc", GATE_BASELINES))
+
+
 @query("AU20_sanity", f"""
 with v as (select case when o_orderkey % 5 = 0 then null else o_totalprice end as a, o_totalprice - o_custkey % 9 as b, case when o_orderkey % 7 = 0 then null else (o_orderkey % 100)::double end as ttad_s from orders)
 select 'max_abs_a_minus_b' as "check", {r('max(abs(a - b))')} as value from v union all select 'a_finite_fraction', {r('avg((a is not null)::int)')} from v union all select 'ttad_s_finite_fraction', {r('avg((ttad_s is not null)::int)')} from v union all select 'a_median', {r('median(a)')} from v union all select 'ttad_s_median', {r('median(ttad_s)')} from v""")

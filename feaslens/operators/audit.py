@@ -364,6 +364,42 @@ def gates(labels_df: DataFrame, deltas: DataFrame | None = None, reason: str = "
     return out.unionByName(won)
 
 
+def _paired(table: DataFrame, by: Sequence[str], scores: Sequence[str], baselines: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per group and (score, baseline) with the change of every metric, null where one of the two is missing. Of repeated rows the largest metric counts."""
+    at = lambda s, v: F.max(F.when(F.col("score_name") == s, F.col(v)))
+    pairs = F.array(*[F.struct(F.lit(s).alias("score_name"), F.lit(b).alias("baseline"), *[(at(s, v) - at(b, v)).alias(f"{v}_delta") for v in values]) for s in scores for b in baselines])
+    return table.groupBy(*by).agg(F.max("positive_count").alias("positive_count"), pairs.alias("_p")).select(*by, "positive_count", F.explode("_p").alias("_p")).select(*by, "positive_count", "_p.*")
+
+
+def overlap_gates(clean: DataFrame, scores: Sequence[str], baselines: Sequence[str], recall: str = "recall_at_5pct_fpr_strict") -> DataFrame:
+    """A gate per score and baseline on samples without overlap at the start: AUPRC and recall both have to rise.
+
+    ``clean`` is the metric table of those samples by ``score_name``. ``value`` is the smaller of the two changes; a pair with a missing
+    score, or an empty table, does not pass.
+    """
+    pairs = _paired(clean, [], scores, baselines, ["auprc", recall])
+    a, b = F.col("auprc_delta"), F.col(f"{recall}_delta")
+    return pairs.select(F.concat(F.lit("clean_start:"), "score_name", F.lit(">"), "baseline").alias("gate"), F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)).alias("value"),
+                        F.lit(0.0).alias("limit"), F.coalesce((a > 0) & (b > 0), F.lit(False)).alias("passed"))
+
+
+def negative_strata(strata: DataFrame, score: str, baselines: Sequence[str], min_positives: int = 10, tolerance: float = 0.02) -> DataFrame:
+    """Strata with enough positives where the score's AUPRC lies below a baseline's by more than the tolerance."""
+    pairs = _paired(strata, ["stratum_column", "stratum"], [score], baselines, ["auprc"])
+    return pairs.filter((F.col("positive_count") >= min_positives) & (F.col("auprc_delta") < -tolerance))
+
+
+def stratum_gates(strata: DataFrame, score: str, baselines: Sequence[str], min_positives: int = 10, tolerance: float = 0.02) -> DataFrame:
+    """A gate per baseline: no stratum may be clearly negative. ``value`` counts those that are; without any stratum nothing passes."""
+    bad = negative_strata(strata, score, baselines, min_positives, tolerance)
+    counts = bad.agg(*[F.sum((F.col("baseline") == b).cast("bigint")).alias(f"b{i}") for i, b in enumerate(baselines)])
+    wide = counts.crossJoin(strata.agg(F.count("*").alias("strata")))  # one row each
+    n = lambda i: F.coalesce(F.col(f"b{i}"), F.lit(0))
+    rows = F.array(*[F.struct(F.lit(f"no_negative_stratum:{score}>{b}").alias("gate"), n(i).cast("double").alias("value"), F.lit(0.0).alias("limit"),
+                              ((n(i) == 0) & (F.col("strata") > 0)).alias("passed")) for i, b in enumerate(baselines)])
+    return wide.select(F.explode(rows).alias("g")).select("g.*")
+
+
 def sanity_checks(df: DataFrame, pairs: Sequence[tuple[str, str]], cols: Sequence[str]) -> DataFrame:
     """Largest difference of column pairs that must not be copies; finite share and median of columns that must vary."""
     diff = {f"max_abs_{a}_minus_{b}": F.max(F.abs(num_or(df, a) - num_or(df, b))) for a, b in pairs}
