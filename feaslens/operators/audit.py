@@ -301,8 +301,9 @@ def mismatch_matrix(labels_df: DataFrame, preds: DataFrame, base: str = "baselin
     """Gain of the enhanced over the baseline feature set for every (label variant, feature variant).
 
     ``labels_df(sample_id, label_variant, y)`` and ``preds(sample_id, feature_variant, feature_set, score)`` join on the sample; all cells share one plan.
+    Neither side is small, whatever the estimate of an exploded one says, so the join is told not to broadcast.
     """
-    rows = labels_df.select("sample_id", "label_variant", "y").join(preds.select("sample_id", "feature_variant", "feature_set", "score"), "sample_id")
+    rows = labels_df.select("sample_id", "label_variant", "y").join(preds.select("sample_id", "feature_variant", "feature_set", "score").hint("merge"), "sample_id")
     keys = ["label_variant", "feature_variant", "feature_set"]
     table = metrics.curve(rows, "y", "score", keys, buckets).groupBy(*keys).agg(
         metrics.auprc_expr().alias("auprc"), metrics.strict_exprs(0.05)[0].alias("recall"), F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("p"))
