@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feaslens.functions import geometry as geo
-from feaslens.functions.columns import clip, nearest_bin
+from feaslens.functions.columns import clip, cos, nearest_bin, sin
 from feaslens.operators import ordered
 from feaslens.operators.actions import _gap_to_segment
 
@@ -31,7 +31,7 @@ def rasterize_cv(agents: DataFrame, times: Sequence[float], grid: geo.Grid, infl
     The sweep of a box that does not turn is tested in the box frame, so no hull is built.
     """
     h = cv_heading()
-    base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "vx", "vy", F.cos(h).alias("c"), F.sin(h).alias("s"),
+    base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "vx", "vy", cos(h).alias("c"), sin(h).alias("s"),
                          F.greatest(F.col("length") + 2 * inflation, F.lit(0.1)).alias("L"), F.greatest(F.col("width") + 2 * inflation, F.lit(0.1)).alias("W"))
     rows = base.select("*", F.explode(time_grid(times)).alias("q")).select(
         "sample_id", "agent_id", "is_ego", "c", "s", (F.col("L") / 2).alias("hl"), (F.col("W") / 2).alias("hw"), F.col("q.k").alias("k"), F.col("q.t").alias("t"),
@@ -64,7 +64,7 @@ def rasterize_tubes(agents: DataFrame, edges: DataFrame, times: Sequence[float],
     per grid row and only inside cells are made. The slice table is a parameter table (bins × bins × slices) and joins by equality.
     """
     speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) * 3.6
-    base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "heading", F.cos("heading").alias("c"), F.sin("heading").alias("s"),
+    base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "heading", cos("heading").alias("c"), sin("heading").alias("s"),
                          nearest_bin(F.when(F.col("is_ego"), F.lit(mu_ego)).otherwise(F.lit(mu_other)), mu_bins).alias("mu"),
                          nearest_bin(speed, speed_bins).alias("v0_kph"))
     nearest = [min(range(len(slice_times)), key=lambda i: (abs(slice_times[i] - t), i)) for t in times]
