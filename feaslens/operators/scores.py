@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feaslens.functions.columns import clip, mean_of, num_filled, num_or, with_scenario_id
@@ -273,9 +273,11 @@ def availability(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def best_by_family(metrics: DataFrame, families: DataFrame, value: str = "auprc", score: str = "score_name") -> DataFrame:
-    """Best score per family by AUPRC; ties go to the smaller name. ``families`` maps score to family and is size-checked."""
+    """Best score per family by AUPRC; ties go to the smaller name, and a family without a value has a null best. ``families`` maps score to family.
+
+    The metrics are read once: floating sums made a second time may differ in the last bit, and a best value compared with them would not be found.
+    """
     joined = metrics.join(families, score)
-    top = joined.groupBy("family").agg(F.max(value).alias("_best"), F.count("*").alias("n_scores"))
-    pick = joined.join(top, "family").filter(F.col(value) == F.col("_best")).groupBy("family").agg(
-        F.min(score).alias("best_score"), F.max("_best").alias(value), F.max("n_scores").alias("n_scores"))
-    return pick
+    own = Window.partitionBy("family")  # the scores of a family, a handful
+    placed = joined.withColumns({"_r": F.row_number().over(own.orderBy(F.col(value).desc_nulls_last(), score)), "n_scores": F.count("*").over(own)})
+    return placed.filter("_r = 1").select("family", F.when(F.col(value).isNotNull(), F.col(score)).alias("best_score"), value, "n_scores")
