@@ -14,6 +14,7 @@ from feaslens.functions import geometry as geo
 from feaslens.operators import actions as ac
 from feaslens.operators import curves as cv
 from feaslens.operators import occupancy as oc
+from feaslens.operators import ordered
 
 GRID = geo.Grid(-30.37, 49.63, -24.23, 23.77, 2.0)  # offsets keep cell centres off box edges
 TIMES = (0.5, 1.0, 1.5, 2.0)
@@ -127,7 +128,9 @@ cu as (select sample_id, k, t, sum(case when safe then w else 0 end) / sum(w) as
 
 def primitives(spark, sf):
     p = F.col("primitive_id")
-    base = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("primitive_id")).distinct()
+    listed = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("primitive_id"))
+    # One shuffle for all that follows: every key begins with the sample. The count reads no column.
+    base = ordered.spread_rows(listed, listed.count(), "sample_id").distinct()
     fam = F.element_at(F.array(*[F.lit(x) for x in ("keep", "brake", "hard_brake", "left", "right")]), (p % 5 + 1).cast("int"))
     return base.select("sample_id", "primitive_id", fam.alias("family"), (p % 8 / 5.0).alias("cost"), (p % 4).cast("double").alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).withColumns(
         {"t": F.col("k") * 0.25, "safe": (p * 31 + F.col("sample_id") * 17 + F.col("k") * 7) % 9 > 1})

@@ -80,9 +80,13 @@ def stability_filter(traj: DataFrame, keys: Sequence[str], vehicle: dict[str, fl
 
 
 def cumulative_safe(df: DataFrame, keys: Sequence[str], order: str = "k", safe: str = "safe", out: str = "safe_cum") -> DataFrame:
-    """Safe in this and every earlier step: up to the first unsafe step. One grouped minimum, no running window."""
-    first = df.groupBy(*keys).agg(F.min(F.when(~F.col(safe), F.col(order))).alias("_bad"))
-    return df.join(first, list(keys)).withColumn(out, F.col("_bad").isNull() | (F.col(order) < F.col("_bad"))).drop("_bad")
+    """Safe in this and every earlier step: up to the first unsafe step.
+
+    The first unsafe step is a minimum over the few steps of a key. As a window it needs no second copy of the rows and no join, and rows that
+    are already partitioned by one of the keys stay where they are.
+    """
+    bad = F.min(F.when(~F.col(safe), F.col(order))).over(Window.partitionBy(*keys))
+    return df.withColumn("_bad", bad).withColumn(out, F.col("_bad").isNull() | (F.col(order) < F.col("_bad"))).drop("_bad")
 
 
 def survival_curves(df: DataFrame, keys: Sequence[str] = ("sample_id",), weight: str = "weight") -> DataFrame:
@@ -136,8 +140,7 @@ def collapse_rates(curves: DataFrame, keys: Sequence[str] = ("sample_id",)) -> D
 def survival_by_class(df: DataFrame, keys: Sequence[str] = ("sample_id",), comfort_cost: float = 0.45, emergency_cost: float = 1.01, weight: str = "weight",
                       families: Sequence[str] = FAMILIES) -> DataFrame:
     """Comfort and emergency survival at the last step, their gap, cheapest safe cost and survival per family (-1 when absent)."""
-    last = df.groupBy(*keys).agg(F.max("k").alias("_k"))
-    rows = df.join(last, list(keys)).filter(F.col("k") == F.col("_k"))
+    rows = df.withColumn("_k", F.max("k").over(Window.partitionBy(*keys))).filter(F.col("k") == F.col("_k"))
     w = F.when((F.col(weight) > 0) & F.col(weight).isNotNull(), F.col(weight)).otherwise(1.0)
 
     def share(mask: Column, alive: str) -> Column:
