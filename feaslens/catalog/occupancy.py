@@ -54,7 +54,7 @@ def tube_edges(spark):
     """Tube outlines as a parameter table: a forward trapezoid per friction, speed and slice, with a hole behind the front."""
     b = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in MU])).alias("mu")).select("mu", F.explode(F.array(*[F.lit(v) for v in SPEEDS])).alias("v0_kph")).select(
         "mu", "v0_kph", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(t).alias("t_s")) for i, t in enumerate(SLICES)])).alias("q")).select("mu", "v0_kph", "q.*")
-    far, half = F.col("v0_kph") / 3.6 * F.col("t_s") + 4.0, F.col("mu") * 4.0 + F.col("t_s")
+    far, half = F.col("v0_kph") / 3.6 * F.col("t_s") + 4.0, F.bround(F.col("mu") * 4.0 + F.col("t_s"), 6)  # the double nearest to the decimal
     ring = lambda hole, pts: [(hole, pts[i], pts[(i + 1) % len(pts)]) for i in range(len(pts))]
     outer = ring(False, [(F.lit(-2.0), -half), (far, -half * 2), (far, half * 2), (F.lit(-2.0), half)])
     inner = ring(True, [(far * 0.4, -half * 0.5), (far * 0.6, -half * 0.5), (far * 0.6, half * 0.5), (far * 0.4, half * 0.5)])

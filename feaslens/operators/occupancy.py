@@ -48,20 +48,39 @@ def rasterize_cv(agents: DataFrame, times: Sequence[float], grid: geo.Grid, infl
     return cells.filter(geo.swept_contains(qx, qy, mx, my, F.col("hl"), F.col("hw"))).select("sample_id", "agent_id", "is_ego", "k", "t", "cell_id")
 
 
+#: Cells of a scan line that comes so near to an edge or a corner (in metres, and in cells) are tested one by one.
+NEAR = 1e-6
+
+
 def tube_slices(edges: DataFrame) -> DataFrame:
-    """One row per (mu, v0_kph, k) with its edges as an array and its bounding box. A slice has at most some hundred edges."""
-    edge = F.struct("x1", "y1", "x2", "y2")
+    """One row per (mu, v0_kph, k) with its edges (left end first) as an array and its bounding box. A slice has at most some hundred edges."""
+    back = F.col("x2") < F.col("x1")
+    end = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a)).alias(a)
+    hole = F.col("is_hole") if "is_hole" in edges.columns else F.lit(False)
+    edge = F.struct(end("x1", "x2"), end("y1", "y2"), end("x2", "x1"), end("y2", "y1"), hole.alias("is_hole"))
     return edges.groupBy("mu", "v0_kph", "k").agg(
         F.first("t_s").alias("slice_t"), F.collect_list(edge).alias("edges"), F.least(F.min("x1"), F.min("x2")).alias("lx0"), F.greatest(F.max("x1"), F.max("x2")).alias("lx1"),
         F.least(F.min("y1"), F.min("y2")).alias("ly0"), F.greatest(F.max("y1"), F.max("y2")).alias("ly1"))
 
 
+def in_tube(edges: Column, px: Column, py: Column) -> Column:
+    """Is the point inside the outer rings and not inside a hole? Points on an edge are inside neither. Edges have their left end first."""
+    def rings(hole: bool) -> Column:
+        at = lambda e: e["y1"] + (e["y2"] - e["y1"]) * (px - e["x1"]) / (e["x2"] - e["x1"])
+        met = ((lambda e: (e["x1"] <= px) & (px < e["x2"])), (lambda e: (e["x1"] < px) & (px <= e["x2"])))
+        beyond = ((lambda e: py < at(e)), (lambda e: py > at(e)))
+        odd = lambda m, b: F.size(F.filter(edges, lambda e: (e["is_hole"] == F.lit(hole)) & m(e) & b(e))) % 2 == 1
+        return odd(met[0], beyond[0]) & odd(met[0], beyond[1]) & odd(met[1], beyond[0]) & odd(met[1], beyond[1])
+    return rings(False) & ~rings(True)
+
+
 def rasterize_tubes(agents: DataFrame, edges: DataFrame, times: Sequence[float], grid: geo.Grid, mu_bins: Sequence[float], speed_bins: Sequence[float],
                     slice_times: Sequence[float], mu_ego: float = 0.8, mu_other: float = 0.6) -> DataFrame:
     """Cells inside the reachable tube of each agent: nearest friction and speed bin, nearest time slice, even-odd rule.
 
     Counting crossings over outer rings and holes together removes the holes. Cells are filled by scan lines, so edges are looked at once
-    per grid row and only inside cells are made. The slice table is a parameter table (bins × bins × slices) and joins by equality.
+    per grid row and only inside cells are made; where a line comes too near to a corner or a crossing to a centre, its cells are tested one
+    by one in the frame of the tube (``in_tube``). The slice table is a parameter table (bins × bins × slices) and joins by equality.
     """
     speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) * 3.6
     base = ordered.spread(agents, "sample_id", "agent_id").select("sample_id", "agent_id", "is_ego", "x", "y", "heading", cos("heading").alias("c"), sin("heading").alias("s"),
@@ -74,20 +93,29 @@ def rasterize_tubes(agents: DataFrame, edges: DataFrame, times: Sequence[float],
     gx = lambda a, b: F.col("x") + F.col("c") * a - F.col("s") * b
     gy = lambda a, b: F.col("y") + F.col("s") * a + F.col("c") * b
     ends = [(F.col(a), F.col(b)) for a in ("lx0", "lx1") for b in ("ly0", "ly1")]
-    res, top = grid.resolution, F.greatest(*[gy(a, b) for a, b in ends])
+    res = grid.resolution
     first = lambda v, low: F.ceil((v - low) / res - 0.5).cast("int")
-    low, high = F.greatest(first(F.least(*[gy(a, b) for a, b in ends]), grid.y_min), F.lit(0)), F.least(first(top, grid.y_min), F.lit(grid.ny - 1))
-    turned = rows.filter(low <= high).withColumn("_e", F.transform("edges", lambda e: F.struct(
-        gx(e["x1"], e["y1"]).alias("x1"), gy(e["x1"], e["y1"]).alias("y1"), gx(e["x2"], e["y2"]).alias("x2"), gy(e["x2"], e["y2"]).alias("y2"))))
+    least, most = (lambda g: F.least(*[g(a, b) for a, b in ends]) - NEAR), (lambda g: F.greatest(*[g(a, b) for a, b in ends]))
+    low, high = F.greatest(first(least(gy), grid.y_min), F.lit(0)), F.least(first(most(gy), grid.y_min), F.lit(grid.ny - 1))
+    turned = rows.filter(low <= high).withColumns({"_left": F.greatest(first(least(gx), grid.x_min), F.lit(0)), "_right": F.least(first(most(gx), grid.x_min), F.lit(grid.nx - 1)), "_e": F.transform("edges", lambda e: F.struct(
+        gx(e["x1"], e["y1"]).alias("x1"), gy(e["x1"], e["y1"]).alias("y1"), gx(e["x2"], e["y2"]).alias("x2"), gy(e["x2"], e["y2"]).alias("y2")))})
     # Scan lines: per grid row the sorted crossings come in pairs, and the cells between a pair are inside.
-    lines = turned.select("sample_id", "agent_id", "is_ego", "k", "t", "_e", F.explode(F.sequence(low, high)).alias("_iy")).withColumn("_cy", grid.center_y(F.col("_iy")))
+    place = ("x", "y", "c", "s", "_left", "_right")
+    lines = turned.select("sample_id", "agent_id", "is_ego", "k", "t", *place, "edges", "_e", F.explode(F.sequence(low, high)).alias("_iy")).withColumn("_cy", grid.center_y(F.col("_iy")))
     hit = F.filter("_e", lambda e: (e["y1"] > F.col("_cy")) != (e["y2"] > F.col("_cy")))
     at = F.array_sort(F.transform(hit, lambda e: e["x1"] + (F.col("_cy") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    lines = lines.withColumn("_xs", at).drop("_e").filter(F.size("_xs") >= 2)
-    spans = lines.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.floor(F.size("_xs") / 2) - 1).cast("int"))))
+    cell = lambda v: (v - grid.x_min) / res - 0.5
+    unsure = F.exists("_e", lambda e: (F.abs(e["y1"] - F.col("_cy")) < NEAR) | (F.abs(e["y2"] - F.col("_cy")) < NEAR)) | F.exists("_xs", lambda v: F.abs(cell(v) - F.rint(cell(v))) < NEAR)
+    lines = lines.withColumn("_xs", at).withColumn("_unsure", unsure).drop("_e").withColumn("edges", F.when(F.col("_unsure"), F.col("edges"))).filter(F.col("_unsure") | (F.size("_xs") >= 2))
+    last = F.when(F.col("_unsure"), F.lit(0)).otherwise((F.floor(F.size("_xs") / 2) - 1).cast("int"))
+    spans = lines.withColumn("_j", F.explode(F.sequence(F.lit(0), last)))
     x0 = F.greatest(first(F.get("_xs", F.col("_j") * 2), grid.x_min), F.lit(0))
     x1 = F.least(first(F.get("_xs", F.col("_j") * 2 + 1), grid.x_min) - 1, F.lit(grid.nx - 1))
-    cells = spans.withColumns({"_x0": x0, "_x1": x1}).filter("_x0 <= _x1").withColumn("_ix", F.explode(F.sequence("_x0", "_x1")))
+    spans = spans.withColumns({"_x0": F.when(F.col("_unsure"), F.col("_left")).otherwise(x0), "_x1": F.when(F.col("_unsure"), F.col("_right")).otherwise(x1)})
+    cells = spans.drop("_xs").filter("_x0 <= _x1").withColumn("_ix", F.explode(F.sequence("_x0", "_x1")))
+    dx, dy = grid.center_x(F.col("_ix")) - F.col("x"), F.col("_cy") - F.col("y")
+    inside = in_tube(F.col("edges"), F.col("c") * dx + F.col("s") * dy, F.col("c") * dy - F.col("s") * dx)
+    cells = cells.filter(F.when(F.col("_unsure"), inside).otherwise(F.lit(True)))
     return cells.select("sample_id", "agent_id", "is_ego", "k", "t", (F.col("_iy") * grid.nx + F.col("_ix")).cast("bigint").alias("cell_id"))
 
 
