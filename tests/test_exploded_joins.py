@@ -22,3 +22,9 @@ def test_variants_are_not_broadcast(spark, sf):
     preds = labels.select("sample_id", F.col("label_variant").alias("feature_variant"), F.explode(F.array(F.lit("baseline"), F.lit("enhanced"))).alias("feature_set"), F.rand(1).alias("score"))
     assert "BroadcastHashJoin [sample_id" not in planned(audit.mismatch_matrix(labels, preds))
     assert "BroadcastHashJoin [sample_id" not in planned(audits.mismatch(spark, sf))
+
+
+def test_tracks_are_estimated_at_their_size(spark, sf):
+    tracks = sc.tracks(spark, sf)
+    estimate = int(tracks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert estimate >= tracks.count() * 8 * len(tracks.columns)
