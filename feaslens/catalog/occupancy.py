@@ -252,6 +252,6 @@ dr as (select *, greatest((lag(cum) over w - cum) / {sc.DT}, 0) as d from cu win
 ft as (select sample_id, variant_id, arg_min(cum, t) i, arg_max(cum, t) f, min(sl) sm, coalesce(min(t) filter (cum <= 0.05), max(t) + {sc.DT}) td, min(t) filter (sl < 0.999) tc, max(d) cm, 1 - avg(cum) filter (t <= 0.5) eb from dr group by 1, 2)
 select sample_id, variant_id, {r('i')} as asr_cum_initial, {r('f')} as asr_cum_final, {r('sm')} as asr_slice_min, {r('td')} as ttad_s, {r('coalesce(tc, td)')} as time_to_first_conflict_s, {r('cm')} as collapse_rate_max_per_s, {r('eb')} as early_blocking_ratio from ft""")
 def as12(spark, sf):
-    agents, states, lanes = sc.stored(spark, sf)
+    agents, states, lanes = sc.stored(spark, sf, future=False)  # obstacles move at constant velocity
     out = cv.aligned_features(agents, states, lanes, sc.DT)
     return rounded(out.select("sample_id", "variant_id", "asr_cum_initial", "asr_cum_final", "asr_slice_min", "ttad_s", "time_to_first_conflict_s", "collapse_rate_max_per_s", "early_blocking_ratio"))

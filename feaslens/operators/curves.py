@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feaslens.functions import geometry as geo
 from feaslens.operators import actions as ac
+from feaslens.operators import ordered
 
 # Primitive families, and command limits that tell them apart.
 FAMILIES = ("keep", "accelerate", "brake", "hard_brake", "left", "right", "brake_left", "brake_right", "unknown")
@@ -189,21 +192,25 @@ def primitive_safety(agents: DataFrame, primitives: DataFrame, occupancy: DataFr
 
 def aligned_features(agents: DataFrame, states: DataFrame, lanes: DataFrame, dt: float, variants: Sequence[ac.Variant] = ac.VARIANTS) -> DataFrame:
     """Curve features per design variant: rollout poses against constant-velocity obstacles and lane buffers, all variants in one plan."""
+    from feaslens.operators import checked
+
     spark = agents.sparkSession
-    acts = None
-    for h, lib in sorted({(v.horizon_s, v.action_library) for v in variants}):
-        part = ac.with_horizon(ac.action_library(spark, lib), h)
-        acts = part if acts is None else acts.unionByName(part)
-    keys = ["sample_id", "horizon_s", "library", "action"]
-    roll = ac.rollout_actions(ac.ego_rows(agents), acts, dt)
-    steps = max(int(math.floor(v.horizon_s / dt + 1e-6)) for v in variants)
-    obs = ac.obstacle_pose(agents, states, "cv_current", steps, dt)
-    hits = ac.overlap_hits(roll, obs, keys).select(*keys, "k", F.lit(True).alias("hit"))
-    lane = ac.lane_distance(roll, [*keys, "k"], lanes, max(v.lane_buffer_m for v in variants))
-    table = spark.createDataFrame([(v.variant_id, v.horizon_s, v.lane_buffer_m, v.action_library) for v in variants],
-                                  "variant_id string, horizon_s double, lane_buffer_m double, library string")
-    rows = roll.select(*keys, "family", "cost", "k", "t").join(hits, [*keys, "k"], "left").join(lane, [*keys, "k"], "left").join(F.broadcast(table), ["horizon_s", "library"])
-    off = F.coalesce("has_lanes", F.lit(False)) & (F.col("lane_distance").isNull() | (F.col("lane_distance") > F.col("lane_buffer_m")))
-    safe = ~F.coalesce("hit", F.lit(False)) & ~off
+    acts = [(h, lib, *a) for h, lib in sorted({(v.horizon_s, v.action_library) for v in variants}) for a in ac.LIBRARIES[lib]]
+    pairs = [(i, j) for i, a in enumerate(acts) for j, v in enumerate(variants) if (v.horizon_s, v.action_library) == a[:2]]
+    of, buffer = np.array([i for i, _ in pairs]), np.array([variants[j].lane_buffer_m for _, j in pairs])[:, None]
+    each = pa.array(np.arange(len(pairs), dtype=np.int32))
+
+    def summary(hits, gaps, has_lanes, made):
+        safe = ~(hits[0][0] >= 0)[of] & ~((gaps[of] > buffer) & has_lanes)
+        there = made[of]
+        ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+        return [each, pa.ListArray.from_arrays(pa.array(ends), pa.array(safe[there]))]
+
+    found = checked.check_actions(agents, lanes, [None], [(a[5], a[6], a[0]) for a in acts], dt, max(v.lane_buffer_m for v in variants), "pair int, safe array<boolean>", summary)
+    # All that follows is keyed by the sample first: one shuffle of a row a primitive, and tasks that do not grow with the table.
+    found = ordered.spread_rows(found, agents.filter("is_ego").count() * int(sum(math.floor(acts[i][0] / dt + 1e-6) for i, _ in pairs)), "sample_id")
+    table = spark.createDataFrame([(p, variants[j].variant_id, acts[i][2], acts[i][3], acts[i][4]) for p, (i, j) in enumerate(pairs)], "pair int, variant_id string, action string, family string, cost double")
+    rows = found.join(F.broadcast(table), "pair").select("sample_id", "variant_id", "action", "family", "cost", F.posexplode("safe").alias("k", "safe")).withColumn("k", F.col("k") + 1)
+    rows = rows.withColumn("t", F.col("k") * F.lit(dt))
     return actionability_features(rows.select("sample_id", "variant_id", F.col("action").alias("primitive_id"), "family", "cost", F.lit(1.0).alias("weight"), "k", "t",
-                                              safe.alias("safe")), ["sample_id", "variant_id"])
+                                              "safe"), ["sample_id", "variant_id"])

@@ -1,6 +1,7 @@
 """Rollouts that are checked sample by sample give the rows of the plans that shuffle poses, and shuffle none."""
 
 import math
+import re
 
 import pytest
 
@@ -40,3 +41,9 @@ def test_poses_are_not_shuffled(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[:plan.index("MapInArrow")]
     assert "Exchange" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("name", ["AC19_label_variants", "AC20_feasibility_audit", "AS12_aligned_features"])
+def test_poses_of_actions_are_not_joined(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join \[(sample_id#\w+, (k|horizon_s|action|_cx)#|horizon_s#)", plan)
